@@ -122,3 +122,10 @@ def next_ids(ids: DataFrame, id_col: str, carry: list[str], prefix: str = "next_
         return F.when(F.col("_follower").isNotNull(), F.col("_follower")[c]).otherwise(F.col("_seam")[c]).alias(prefix + c)
 
     return joined.select(id_col, *carry, pick(id_col), *[pick(c) for c in carry])
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder as Parquet and read it again: compact, and pruned by column."""
+    uri = scratch_dir(df.sparkSession, label)
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
