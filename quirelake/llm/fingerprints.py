@@ -7,7 +7,7 @@ the pair (term, t) with the smallest a, kept as 32 bits of its hash. Two texts a
 to their generalised Jaccard similarity, the sum of smaller weights over the sum of larger ones, so the share of
 equal samples estimates it with a standard error of at most 0.5 / sqrt(samples).
 
-The gamma draws come from a table of 65,536 draws over a low-discrepancy grid, of which a hash of term and sample
+The gamma draws come from a table of 16,384 draws over a low-discrepancy grid, of which a hash of term and sample
 picks two (for r and for c): a logarithm a draw would be most of the cost. Only DataFrame functions are used. A row
 counts its own terms, and minima are taken before the shuffle, so what is shuffled is a signature a text.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import let, next_ids
 
 SAMPLES = 32
-_TABLE_BITS = 16
+_TABLE_BITS = 14
 _LOW32 = 0xFFFFFFFF
 
 
