@@ -66,17 +66,17 @@ _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1,
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(id, digest, fp) for every row; fp is the fingerprint as a signed long, digest a hash of the text as it stands."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
+            found = np.array([simhash(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, digest long, fp long")
 
 
 # --- links within posting lists -------------------------------------------------------------------------------------
@@ -273,25 +273,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(id, fp, component) for every row: component is the smallest id reachable over links."""
+    """(id, digest, fp, component) for every row: component is the smallest id reachable over links."""
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     classes = checkpoint(marked.groupBy("fp").agg(F.min("id").alias("least")))
     rooted = components(links(classes.select("fp"), max_bits=max_bits))
     placed = classes.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "c_root")
     named = placed.join(smallest, F.col("root") == F.col("c_root")).select("c_fp", "component")
-    return marked.join(named, F.col("fp") == F.col("c_fp")).select(F.col("id").alias(id_col), "fp", "component")
+    return marked.join(named, F.col("fp") == F.col("c_fp")).select(F.col("id").alias(id_col), "digest", "fp", "component")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every component: the row with the smallest id (of equal ids, one). All columns stay.
+    """One document of every component: the row with the smallest id. All columns stay.
 
-    Rows without an id can't be named as duplicates; they go only if their component has an id, else all stay.
+    Rows are named by id and text. Of rows equal in both one stays; rows without an id stay if their component has none.
     """
     found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col))
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("_k_id")).distinct()
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_k_id"]), "left_semi")
-    if found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
-        return joined
-    named = F.col(id_col).isNotNull()
-    return joined.filter(named).dropDuplicates([id_col]).unionAll(joined.filter(~named))
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("_k_id"), F.col("digest").alias("_k_digest")).agg(F.count("*").alias("_k_n"))
+    keyed = docs.withColumn("_k_text", F.xxhash64(F.col(text_col)))
+    joined = keyed.join(first.select("_k_id", "_k_digest"), keyed[id_col].eqNullSafe(F.col("_k_id")) & (F.col("_k_text") == F.col("_k_digest")), "left_semi")
+    if not first.filter("_k_n > 1").isEmpty():
+        joined = joined.dropDuplicates([id_col, "_k_text"])
+    return joined.select(*[keyed[c] for c in docs.columns])
