@@ -2,13 +2,13 @@
 
 Learning gathers a raw-content zstandard dictionary for each language from a bounded sample: of every language at
 most about ``pieces`` rows, chosen by a hash of the id at a rate that follows from the language's row count, and from
-each a piece of ``piece_chars`` characters at a hashed place; equal pieces are taken once. A text is cut into
-blocks of ``block_bytes``, so that a long text doesn't become its own dictionary, every block is compressed with every
+each a piece of ``piece_chars`` characters at a hashed place; equal pieces are taken once. Dictionaries and texts are lower-cased, and
+everything but letters becomes single spaces. A text is cut into blocks of ``block_bytes``, so that a long text doesn't become its own dictionary, every block is compressed with every
 dictionary, and the language with the smallest sum wins. A text is rejected when the runner-up is within ``margin``
 (share of its bytes) of the winner.
 
 Defined results: a null text or one without a letter gets `und`, score 0 and is rejected; without any learned language
-every text does; ties go to the language that comes first by code point; repeated rows each get a row; ids may be null;
+every text does; ties go to the language with more training rows; repeated rows each get a row; ids may be null;
 an empty table gives no rows; columns beyond the id and the text are ignored.
 """
 
@@ -24,6 +24,12 @@ from .common import id_crc
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def normalise(text: str) -> str:
+    """Lower-cased letters with single spaces, one at either end."""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -31,8 +37,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     return docs.filter((id_crc(F.col(id_col)) % 3 != 1) & F.col(lang_col).isNotNull())
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = 300, piece_chars: int = 512, dictionary_bytes: int = 110_000, max_languages: int = 500) -> dict[str, bytes]:
-    """Language to dictionary, from rows with a text and a language. The rarer of more than max_languages aren't learned."""
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = 600, piece_chars: int = 512, dictionary_bytes: int = 300_000, max_languages: int = 500) -> dict[str, bytes]:
+    """Language to dictionary, the most frequent language first. The rarer of more than max_languages aren't learned."""
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
@@ -47,16 +53,17 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     parts: dict[str, dict[str, None]] = {}
     for row in found:
         parts.setdefault(row["lang"], {})[row["piece"]] = None
-    return {lang: "\n".join(own).encode("utf-8", "surrogatepass")[-dictionary_bytes:] for lang, own in sorted(parts.items())}
+    order = [r["lang"] for r in counts if r["lang"] in parts]
+    return {lang: "".join(normalise(p) for p in parts[lang]).encode("utf-8", "surrogatepass")[-dictionary_bytes:] for lang in order}
 
 
 class Classifier:
     """Compressors with one dictionary a language."""
 
-    def __init__(self, dictionaries: dict[str, bytes], *, level: int = 1, block_bytes: int = 2048, margin: float = 0.01):
+    def __init__(self, dictionaries: dict[str, bytes], *, level: int = 6, block_bytes: int = 1024, margin: float = 0.01):
         import zstandard
 
-        self.languages, self.block_bytes, self.margin = sorted(dictionaries), block_bytes, margin
+        self.languages, self.block_bytes, self.margin = list(dictionaries), block_bytes, margin
         self.compress = []
         for lang in self.languages:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -64,7 +71,7 @@ class Classifier:
             self.compress.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def sizes(self, text: str) -> np.ndarray:
-        data = text.encode("utf-8", "surrogatepass")
+        data = normalise(text).encode("utf-8", "surrogatepass")
         blocks = [data[at : at + self.block_bytes] for at in range(0, len(data), self.block_bytes)]
         return np.array([sum([len(c(b)) for b in blocks]) for c in self.compress], np.int64)
 
