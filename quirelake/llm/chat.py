@@ -2,7 +2,8 @@
 
 Template: a turn is `<s>[INST] ` + role + line break + text + `[/INST]</s>`; a conversation is its turns in order,
 nothing between. Grammar: cut at every `[/INST]</s>`; the last piece must be empty; every other piece must start with
-`<s>[INST] ` and hold a line break, before which stands the role and after which the text; in both, the character
+`<s>[INST] ` and hold no further control string, but a line break, before which stands the role and after which the
+text; in both, the character
 references `&lt;` `&lsb;` `&nl;` `&amp;` stand for `<`, `[`, a line break and `&`.
 
 A conversation is first rendered as it is and parsed; if the turns differ from the source, all of its texts that hold
@@ -62,9 +63,15 @@ def parse(formatted: Column) -> Column:
         raw = F.substring(body, F.char_length(role) + 2, F.char_length(body))
         return F.struct(unescape(role).alias("role"), role.alias("raw_role"), raw.alias("raw"), unescape(raw).alias("text"))
 
+    def marked(body: Column) -> Column:
+        found = F.lit(False)
+        for string in CONTROL:
+            found = found | F.contains(body, F.lit(string))
+        return found
+
     def whole(pieces: Column) -> Column:
         turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        good = (F.element_at(pieces, -1) == "") & F.forall(turns, lambda p: F.startswith(p, F.lit(OPEN)) & (F.locate("\n", p) > 0))
+        good = (F.element_at(pieces, -1) == "") & F.forall(turns, lambda p: F.startswith(p, F.lit(OPEN)) & (F.locate("\n", p) > 0) & ~marked(F.substring(p, len(OPEN) + 1, F.char_length(p))))
         return F.when(good, F.transform(turns, one))
 
     return let(F.split(formatted, r"\[/INST\]</s>"), whole)

@@ -86,5 +86,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_simhash, op5_lm_scoring, op6_fingerprints, op7_sstable, op8_mixing, op9_warc, op10_chat, pipeline)}
 
 
+_WORDS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))"
+
+OP3_SQL = f"""
+WITH items AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) WHERE len(w) > 0),
+docs AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) WHERE len(w) > 0),
+d AS (SELECT doc_id, unnest(s) AS shingle FROM docs), i AS (SELECT item_id, unnest(s) AS shingle, len(s) AS n FROM items)
+SELECT doc_id, item_id, count(*) / any_value(n) AS containment FROM d JOIN i USING (shingle) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.8 - 1e-9
+"""
+
+# Base32 by groups of five bits out of the hexadecimal digest's digits.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((h[5 * i // 4 + 1] * 256 + coalesce(h[5 * i // 4 + 2], 0) * 16 + coalesce(h[5 * i // 4 + 3], 0)) >> (7 - 5 * i % 4)) & 31 AS INTEGER) + 1, 1)), '')"
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id, list_transform(string_split(sha1(payload), ''), lambda c: instr('0123456789abcdef', c) - 1) AS h FROM p)
+SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+
+
+def _escaped(column: str, role: bool) -> str:
+    out = f"replace({column}, '&', '&amp;')"
+    for string in chat.CONTROL:
+        out = f"replace({out}, '{string}', '{('&lt;' if string[0] == '<' else '&lsb;') + string[1:]}')"
+    return f"replace({out}, chr(10), '&nl;')" if role else out
+
+
+_ODD = "(" + " OR ".join(f"contains(role || ' ' || text, '{s}')" for s in (*chat.CONTROL, "&lt;", "&lsb;", "&nl;", "&amp;")) + " OR contains(role, chr(10)))"
+
+OP10_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+n AS (SELECT *, bool_or({_ODD}) OVER (PARTITION BY conv_id) AS odd FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.OPEN) + 1 + len(chat.CLOSE)} + CASE WHEN odd THEN length({_escaped('role', True)}) + length({_escaped('text', False)}) ELSE length(role) + length(text) END) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Equivalent SQL where there is one; the other queries are tested against brute force, round trips or held-out rows."""
+    return {"op3_decontamination": OP3_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL}
