@@ -57,7 +57,7 @@ def section_byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.filter("kept").select("section_key", "file_path", "running")
 
 
-@query()
+@query("SELECT doc_id, substr(text, 1, n) AS cut, strlen(substr(text, 1, n)) AS bytes FROM (SELECT doc_id, text, list_max(list_filter(range(0, 102), lambda i: strlen(substr(text, 1, i)) <= 101)) AS n FROM documents)")
 def utf8_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = table(spark, sf_dir, "documents").select("doc_id", tx.utf8_truncate(F.col("text"), 101).alias("cut"))
     return cut.select("doc_id", "cut", F.octet_length("cut").cast("long").alias("bytes"))

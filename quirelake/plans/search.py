@@ -167,7 +167,11 @@ def query_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ASKED.df(spark).select("id", tx.escape_query(F.col("q")).alias("match"))
 
 
-@query()
+_CJK_WORD = f"trim(regexp_replace(array_to_string(list_filter(string_split_regex(regexp_replace(w, '({_CJK})', ' \\1 ', 'g'), '\\s+'), lambda x: x <> ''), ' '), '[\"()*:^]', '', 'g'))"
+
+
+@query(f"""WITH {ASKED.cte('t')}, u AS (SELECT id, unnest(range(len(string_split_regex(q, '\\s+')))) AS n, unnest(string_split_regex(q, '\\s+')) AS w FROM t), p AS (SELECT id, n, {_CJK_WORD} AS w FROM u)
+    SELECT t.id, coalesce(string_agg('"' || p.w || '"', ' ' ORDER BY n), '"__nothing_matches__"') AS match FROM t LEFT JOIN p ON p.id = t.id AND p.w <> '' GROUP BY t.id""")
 def query_escape_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ASKED.df(spark).select("id", tx.escape_query_cjk(F.col("q")).alias("match"))
 
