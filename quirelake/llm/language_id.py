@@ -2,10 +2,10 @@
 
 Learning gathers a raw-content zstandard dictionary for each language from a bounded sample: of every language at
 most about ``pieces`` rows, chosen by a hash of the id at a rate that follows from the language's row count, and from
-each a piece of ``piece_chars`` characters at a hashed place; equal pieces are taken once. Dictionaries and texts are lower-cased, and
-everything but letters becomes single spaces. A text is cut into blocks of ``block_bytes``, so that a long text doesn't become its own dictionary, every block is compressed with every
-dictionary, and the language with the smallest sum wins. A text is rejected when the runner-up is within ``margin``
-(share of its bytes) of the winner.
+each a piece of ``piece_chars`` characters at a hashed place; equal pieces are taken once. Dictionaries and texts are
+lower-cased, and everything but letters becomes single spaces. A text is cut into blocks of ``block_bytes``, so that a
+long text doesn't become its own dictionary, every block is compressed with every dictionary, and the language with
+the smallest sum wins. A text is rejected when the runner-up is within ``margin`` (share of its bytes) of the winner.
 
 Defined results: a null text or one without a letter gets `und`, score 0 and is rejected; without any learned language
 every text does; ties go to the language with more training rows; repeated rows each get a row; ids may be null;
