@@ -81,11 +81,23 @@ def test_fingerprint_query(spark):
         assert row.n_chars == len(text) and row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         errors += [row.near_edited - jaccard(text, edited), row.near_next - jaccard(text, following)]
         assert prints.setdefault(text, row.fingerprint) == row.fingerprint
-    # Unbiased, with the deviation of a mean of independent samples.
-    assert abs(sum(errors) / len(errors)) < 0.02
+    # The texts share their frequent words and with them the draws, so the errors aren't independent.
+    assert abs(sum(errors) / len(errors)) < 0.05
     assert math.sqrt(sum(e * e for e in errors) / len(errors)) < 0.5 / math.sqrt(fingerprints.SAMPLES) * 1.2
 
 
+def test_likeness_is_unbiased(spark):
+    """Pairs of texts with words and counts of their own: the mean error is that of independent samples."""
+    draw, docs = random.Random(5), []
+    for k in range(150):
+        words = [f"{k}x{i}" for i in range(40)]
+        for side in range(2):
+            docs.append((2 * k + side, " ".join(w for w in words if draw.random() < 0.7 for _ in range(draw.choice([1, 1, 1, 2, 5, 20])))))
+    got = {r.doc_id: r.near_next for r in fingerprints.compare_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    errors = [got[i] - jaccard(a, docs[i + 1][1]) for i, a in docs[::2]]
+    assert abs(sum(errors) / len(errors)) < 3.5 * 0.5 / math.sqrt(fingerprints.SAMPLES * len(errors))
+
+
 def test_fingerprint_defined_results(spark):
     rows = [(1, "Alpha beta\tgamma", 1), (2, None, 2), (3, "", 3), (None, "lone", 4), (1, "alpha beta gamma", 5), (1, "alpha beta gamma", 6)]
     got = fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
