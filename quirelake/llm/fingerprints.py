@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, next_ids
+from .common import let, next_ids, stored
 
 SAMPLES = 32
 _TABLE_BITS = 14
@@ -93,8 +93,8 @@ def as_hex(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, n_chars, which, text) with a document's text (0) and its edited text (1), and (key, next_key).
+def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, next_key, n, text, edited) of every document and its follower in ascending order of the id.
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many of the next document's first, or
     all it has. Only ids and lengths are ordered; of a next document only the part in question moves.
@@ -103,33 +103,38 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     chained = next_ids(base.select("id", "digest", F.char_length("text").alias("n")).distinct(), "id", ["digest", "n"])
 
+    # One string names a document: a struct's fields would differ in nullability on both sides of a join, and the
+    # casts that follow keep Spark from using the shuffled texts twice.
     def key(prefix: str = "") -> Column:
-        return F.struct(F.coalesce(F.col(f"{prefix}id"), F.lit(0)).alias("id"), F.col(f"{prefix}id").isNull().alias("none"), F.col(f"{prefix}digest").alias("digest"))
+        return F.concat(F.coalesce(F.col(f"{prefix}id").cast("string"), F.lit("")), F.lit(":"), F.col(f"{prefix}digest").cast("string"))
 
     links = chained.select(key().alias("key"), key("next_").alias("next_key"), "n")
     keyed = base.select(key().alias("key"), "text")
-    if base.select("id", "digest").groupBy("id", "digest").count().filter("count > 1").isEmpty() is False:
+    if not base.groupBy("id", "digest").count().filter("count > 1").isEmpty():
         keyed = keyed.dropDuplicates(["key"])
     half = F.floor(F.col("n") / 2).cast("int")
     parts = keyed.join(links.select(F.col("key").alias("before"), F.col("next_key").alias("key"), "n"), "key")
-    parts = parts.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), half).alias("part"), "n")
-    joined = keyed.join(parts, "key")
+    parts = parts.select(F.col("before").alias("key"), F.col("key").alias("next_key"), F.substring(F.col("text"), F.lit(1), half).alias("part"), "n")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.col("part"))
-    return joined.select("key", "n", "text", edited.alias("edited")), links.select("key", "next_key")
+    return keyed.join(parts, "key").select("key", "next_key", "n", "text", edited.alias("edited"))
 
 
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every document."""
-    pairs, links = edited_pairs(docs, id_col=id_col, text_col=text_col)
-    facts = pairs.select(
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"), "key", F.col("n").cast("long").alias("n"), F.sha2("edited", 256).alias("sha")
-    )
-    signed = signatures(facts.select("key", "n", "sha", "v.which", "v.text"), ["key", "n", "sha", "which"], samples)
-    both = signed.groupBy("key", "n", "sha").agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("edited"))
-    follower = both.select(F.col("key").alias("next_key"), F.col("own").alias("following"))
-    joined = both.join(links, "key").join(follower, "next_key")
+    pairs = edited_pairs(docs, id_col=id_col, text_col=text_col)
+    own = F.struct(F.lit(0).alias("which"), F.col("text").alias("text"))
+    other = F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))
+    facts = pairs.select("key", "next_key", F.col("n").cast("long").alias("n"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(F.array(own, other)).alias("v"))
+    names = ["key", "next_key", "n", "sha"]
+    signed = signatures(facts.select(*names, "v.which", "v.text"), [*names, "which"], samples)
+    both = signed.groupBy(*names).agg(*[F.max(F.when(F.col("which") == k, F.col("signature"))).alias(c) for k, c in ((0, "own"), (1, "edited"))])
+    both = stored(both, "signatures")  # read twice below; the draws are made once
+    follower = both.select(F.col("key").alias("f_key"), F.col("own").alias("following"))
+    joined = both.join(follower, F.col("next_key") == F.col("f_key"))
+    digest_chars = F.char_length(F.substring_index("key", ":", -1))
+    doc_id = F.nullif(F.substring(F.col("key"), F.lit(1), F.char_length("key") - digest_chars - 1), F.lit("")).cast(docs.schema[id_col].dataType)
     return joined.select(
-        F.when(~F.col("key.none"), F.col("key.id")).alias(id_col), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
+        doc_id.alias(id_col), F.col("n").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
         as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited"), samples).alias("near_edited"), likeness(F.col("own"), F.col("following"), samples).alias("near_next"),
     )
