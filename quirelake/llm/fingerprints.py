@@ -72,7 +72,8 @@ def _sample(i: int) -> Column:
     b = F.shiftrightunsigned(h, 48) / 65536.0
     t = F.floor(F.col("log_weight") / r + b)
     log_a = log_c - r * (t.cast("double") - b + 1.0)
-    ordered = F.shiftleft(((log_a + 512.0) * 4194304.0).cast("long"), 32)
+    # ln a lies well within (-512, 512), so this fits 31 bits and the sign bit stays clear.
+    ordered = F.shiftleft(((log_a + 512.0) * 2097152.0).cast("long"), 32)
     return F.min(F.when(F.col("term").isNotNull(), ordered.bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(_LOW32)))))
 
 
