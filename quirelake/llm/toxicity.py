@@ -97,30 +97,36 @@ def fit_rows(texts: list[str | None], labels: list[int], *, bits: int = BITS, sm
     y = np.asarray(labels, dtype=np.int8)
     if not (y == 1).any() or not (y == 0).any():
         return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0, fitted=False)
-    rows = [ngram_buckets(t, bits) for t in texts]
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    toxic = np.bincount(flat, weights=(y[owner] == 1), minlength=1 << bits) + smoothing
-    other = np.bincount(flat, weights=(y[owner] == 0), minlength=1 << bits) + smoothing
+    # Only the buckets of the texts are kept, at 4 bytes each; products are made for some texts at a time.
+    groups: list[tuple[np.ndarray, np.ndarray, slice]] = []
+    for at in range(0, len(texts), 100):
+        rows = [ngram_buckets(t, bits).astype(np.int32) for t in texts[at : at + 100]]
+        groups.append((np.concatenate(rows), np.array([len(r) for r in rows]), slice(at, at + len(rows))))
+    toxic, other = np.full(1 << bits, smoothing), np.full(1 << bits, smoothing)
+    for flat, sizes, own in groups:
+        marked = np.repeat(y[own] == 1, sizes)
+        toxic += np.bincount(flat[marked], minlength=1 << bits)
+        other += np.bincount(flat[~marked], minlength=1 << bits)
     # Shares of texts that hold the feature, so that a longer class doesn't tilt every ratio.
     ratio = np.log(toxic / ((y == 1).sum() + 2 * smoothing)) - np.log(other / ((y == 0).sum() + 2 * smoothing))
-    used, columns = np.unique(flat, return_inverse=True)
-    scaled = ratio[used][columns].astype(np.float32)
+    ratio[(toxic == smoothing) & (other == smoothing)] = 0.0
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     target = np.where(y == 1, 1.0, -1.0)
 
     def value_and_gradient(x: np.ndarray):
-        margins = target * (np.bincount(owner, weights=scaled * x[columns], minlength=len(rows)) + x[-1])
-        loss = float((weight * np.logaddexp(0.0, -margins)).sum() + 0.5 * ridge * x[:-1].dot(x[:-1]))
-        pull = -weight * target / (1.0 + np.exp(np.clip(margins, -500, 500)))
-        gradient = np.bincount(columns, weights=scaled * pull[owner], minlength=len(used))
-        return loss, np.append(gradient + ridge * x[:-1], pull.sum())
-
-    x = _lbfgs(value_and_gradient, np.zeros(len(used) + 1), steps)
-    weights = np.zeros(1 << bits, np.float32)
-    weights[used] = ratio[used] * x[:-1]
-    return ToxicityModel(weights, float(x[-1]))
+        each, gradient, loss, bias = ratio * x[:-1], np.zeros(1 << bits), 0.5 * ridge * float(x[:-1].dot(x[:-1])), 0.0
+        for flat, sizes, own in groups:
+            ends = np.cumsum(sizes)
+            running = np.concatenate([[0.0], np.cumsum(each[flat])])
+            margins = target[own] * (running[ends] - running[ends - sizes] + x[-1])
+            loss += float((weight[own] * np.logaddexp(0.0, -margins)).sum())
+            pull = -weight[own] * target[own] / (1.0 + np.exp(np.clip(margins, -500, 500)))
+            gradient += np.bincount(flat, weights=np.repeat(pull, sizes), minlength=1 << bits)
+            bias += float(pull.sum())
+        return loss, np.append(ratio * gradient + ridge * x[:-1], bias)
+
+    x = _lbfgs(value_and_gradient, np.zeros((1 << bits) + 1), steps)
+    return ToxicityModel((ratio * x[:-1]).astype(np.float32), float(x[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1200) -> ToxicityModel:
