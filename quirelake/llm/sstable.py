@@ -26,6 +26,7 @@ import json
 import re
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,9 +37,11 @@ from .common import checkpoint, open_fs, publish, scratch_dir, worker_cache
 
 MAGIC = b"QLSST\x00\x01\n"
 FOOTER = "<6Q8s"
-#: Distinct pieces whose ids a Python worker keeps; more are encoded again.
-CACHED_PIECES = 400_000
-_SPACES = re.compile(r"\s |^ | $| \s")
+#: Distinct pieces whose ids a Python worker keeps, of some 200 bytes each; others are encoded again.
+CACHED_PIECES = 1_000_000
+#: White space before a space or a line break: no place to cut.
+_RUNS = re.compile(r"\s[ \n]")
+_BEFORE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -49,7 +52,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never lets a token run from a non-space character into following white space, so a
     text can be cut before each space or line break that follows a non-space character without changing its ids.
-    The library then encodes each distinct piece once; texts with other white space beside a space go to it whole.
+    The library then encodes each distinct piece once. New pieces that start with a space are encoded many in a row and
+    told apart by the tokens that start with a space, of which a piece has one, its first.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
@@ -57,50 +61,48 @@ class Encoder:
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            self.ids[piece] = np.array(got.ids, "<u4").tobytes()
+        rows = [p for p in pieces if p[:1] == " " and not p[-1].isspace() and "<|" not in p]
+        known = set(rows)
+        groups = [rows[at : at + 400] for at in range(0, len(rows), 400)]
+        rest = [p for p in pieces if p not in known]
+        for group, ids in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(group):
+                rest += group
+                continue
+            edges = [*(starts * 4).tolist(), len(ids) * 4]
+            raw = ids.tobytes()
+            for piece, i, j in zip(group, edges, edges[1:], strict=False):
+                self.ids[piece] = raw[i:j]
+        for piece, ids in zip(rest, self._encode(rest), strict=True):
+            self.ids[piece] = ids.tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if t and (_SPACES.search(t) or t.startswith("\n"))]
-        rest = set(whole)
-        out: list[bytes] = [b""] * len(texts)
-        for i, got in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False) if whole else [], strict=True):
-            out[i] = np.array(got.ids, "<u4").tobytes() + self.end
-        for i, text in enumerate(texts):
-            if i in rest:
-                continue
-            if not text:
-                out[i] = self.end
-                continue
-            # NUL-free marks: a piece starts with its own space or line break, so the keys say which it was.
-            pieces = text.replace(" ", "\n ").split("\n") if "\n" not in text else _cut(text)
-            missing = [p for p in dict.fromkeys(pieces) if p not in self.ids]
-            if missing:
-                if len(self.ids) + len(missing) > CACHED_PIECES:
-                    self.ids.clear()
-                    missing = list(dict.fromkeys(pieces))
-                self._learn(missing)
-            out[i] = b"".join(map(self.ids.__getitem__, pieces)) + self.end
-        return out
-
-
-def _cut(text: str) -> list[str]:
-    """The pieces of a text that has line breaks but no white space beside a space; a run of line breaks stays with what follows."""
-    pieces: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        words = line.replace(" ", "\n ").split("\n")
-        if k == 0:
-            pieces = words
-        elif pieces[-1] == "" or pieces[-1].isspace() or pieces[-1][-1].isspace():
-            pieces[-1] += "\n" + words[0]
-            pieces += words[1:]
-        else:
-            pieces.append("\n" + words[0])
-            pieces += words[1:]
-    return pieces
+        cut = [pieces_of(t) if t else [] for t in texts]
+        missing = set().union(*cut).difference(self.ids)
+        if len(self.ids) + len(missing) > CACHED_PIECES:
+            # The frequent pieces came first, so the later half goes.
+            self.ids = dict(islice(self.ids.items(), CACHED_PIECES // 2))
+            missing = set().union(*cut).difference(self.ids)
+        if missing:
+            self._learn(list(missing))
+        get = self.ids.__getitem__
+        return [b"".join(map(get, pieces)) + self.end for pieces in cut]
+
+
+def pieces_of(text: str) -> list[str]:
+    """A text cut before each space or line break that follows a character other than white space."""
+    if "\0" in text or _RUNS.search(text):
+        return _BEFORE.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 # --- the file format ------------------------------------------------------------------------------------------------
