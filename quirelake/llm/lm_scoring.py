@@ -72,8 +72,18 @@ def build_vocabulary(counts: DataFrame, *, words: int = 160, classes: int = 96,
     """From (word, c): three aggregates, of which bounded parts reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.filter(F.col("word") == END).collect()
-    top = end + counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(frequent).collect()
-    own = top[:words]
+    rest = counts.filter(F.col("word") != END)
+    own = end + rest.orderBy(F.desc("c"), "word").limit(words - len(end)).collect()
+    # The frequent words by a threshold from a histogram of counts: a top-k would send as many rows from every partition.
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    held, least = len(own), None
+    for row in sorted(rest.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if held + row["count"] > frequent:
+            break
+        held, least = held + row["count"], row["level"]
+    taken = {r["word"] for r in own}
+    more = [] if least is None else [r for r in rest.filter(level >= least).collect() if r["word"] not in taken]
+    top = own + sorted(more, key=lambda r: (-r["c"], r["word"]))
     split = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(r["word"],) for r in own] or [("",)], "w string")), F.col("word") == F.col("w"), "left_anti")
     sums = split.groupBy(F.right("word", F.lit(2)).alias("suffix")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     named = sums.orderBy(F.desc("n"), "suffix").limit(classes - 1).collect()
