@@ -43,20 +43,26 @@ def cover() -> list[tuple[int, ...]]:
     return kept
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """The fingerprint of a whole text, as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """The hash of each shingle of a whole text, in its order; none for a blank text."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [digest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def simhash(text: str | None, shingle: int = 4) -> int:
+    """The fingerprint of a whole text, as an unsigned 64-bit number."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     columns = np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES)
     ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS_OF for k in range(BYTES)])
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
@@ -276,19 +282,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, digest, fp, component) for every row: component is the smallest id reachable over links."""
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     classes = checkpoint(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    rooted = components(links(classes.select("fp"), max_bits=max_bits))
+    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits)), id_col)
+
+
+def named_components(marked: DataFrame, classes: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
+    """(id, digest, fp, component) from marked(id, digest, fp), classes(fp, least) and the roots of linked fingerprints."""
     placed = classes.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "c_root")
     named = placed.join(smallest, F.col("root") == F.col("c_root")).select("c_fp", "component")
     return marked.join(named, F.col("fp") == F.col("c_fp")).select(F.col("id").alias(id_col), "digest", "fp", "component")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
     """One document of every component: the row with the smallest id. All columns stay.
 
     Rows are named by id and text. Of rows equal in both one stays; rows without an id stay if their component has none.
     """
-    found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col))
+    found = checkpoint(find(docs, id_col=id_col, text_col=text_col))
     first = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("_k_id"), F.col("digest").alias("_k_digest")).agg(F.count("*").alias("_k_n"))
     keyed = docs.withColumn("_k_text", F.xxhash64(F.col(text_col)))
     joined = keyed.join(first.select("_k_id", "_k_digest"), keyed[id_col].eqNullSafe(F.col("_k_id")) & (F.col("_k_text") == F.col("_k_digest")), "left_semi")
