@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import evaluation as op
@@ -48,10 +49,17 @@ _PAIRS = f"pairs AS (SELECT doc_id, item_id, {searches._TOKENS.format('d.text')}
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with one benchmark item, by its id: a fixed pairing to measure, not a search."""
+    """Every document with one benchmark item, all items in turn: a fixed pairing to measure, not a search.
+
+    The item's place in order of its id is the document's id modulo the table's own number of items.
+    """
     items = table(spark, sf_dir, "benchmark").select("item_id", tx.word_tokens(F.col("text")).alias("bt"))
+    places = table(spark, sf_dir, "benchmark").filter("item_id IS NOT NULL").select(F.col("item_id").alias("p_id")).distinct()
+    places = places.select("p_id", F.row_number().over(Window.orderBy("p_id")).alias("place"))
+    placed = items.join(places, F.col("item_id") == F.col("p_id")).drop("p_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("dt"))
-    return docs.join(items, F.col("doc_id") % 40 == F.col("item_id"))
+    n = F.broadcast(places.agg(F.count("*").alias("n")))
+    return docs.join(n, F.col("n") > 0).join(placed, F.pmod("doc_id", "n") == F.col("place") - 1).select("doc_id", "item_id", "dt", "bt")
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT doc_id, item_id, {_NGRAMS.format(t='dt')} AS dn, {_NGRAMS.format(t='bt')} AS bn FROM pairs)
