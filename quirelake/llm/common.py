@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import types
@@ -15,6 +16,9 @@ from pyspark.sql.window import Window
 
 #: Java regex for a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch on its way to Python.
+ARROW_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -46,15 +50,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder: on a cluster it must be one that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quirelake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a copy in the shared folder, which outlives any executor."""
+def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage at a copy in the shared folder, which outlives any executor; in at most so many files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
+
+
+def splits_of(df: DataFrame) -> int:
+    """How many partitions a table is read in: no intermediate table of it needs more files than that."""
+    return max(1, df.rdd.getNumPartitions())
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -92,6 +103,14 @@ def publish(uri: str, name: str, write) -> int:
     return length
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session exceed ARROW_BYTES but by its last row: a default batch of whole texts takes tens of
+    megabytes twice over, in the JVM and in Python. A session that asks for less keeps its own bound."""
+    asked = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH_SETTING))
+    if asked is None or int(asked[1]) > ARROW_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{ARROW_BYTES}b")
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks."""
     module = sys.modules.get("_quirelake_worker")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import bound_batches, id_crc
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -91,6 +91,7 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.01) -> DataFrame:
     """(id, lang_pred, score, margin, rejected) for every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

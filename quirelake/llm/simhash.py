@@ -9,8 +9,8 @@ are dropped, and the rest are verified by their differing bits.
 Equal fingerprints are one class before anything else, so copies cost nothing. A posting list longer than
 ``refine_above`` is posted again under each further byte (pairs that reach the minimum share one of those too); what
 is still longer is compared in pairs of blocks, in tasks of their own. A task gives a spanning forest of the links it
-finds, never all pairs, and the forests' components are the components of all links, found by alternating star
-contractions with a checkpoint a round.
+finds, never all pairs, and the forests' components are the components of all links, found by contractions within
+tasks and alternating star contractions across them, with a checkpoint a round.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle
 make one shingle of all of them; repeated rows each get a row; a null id is kept, and counts for a component's
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bound_batches, checkpoint, splits_of
 
 BYTES = 8
 #: Three groups of positions: a triple is posted if it lies within a group or has two in one and one in the next.
@@ -74,6 +74,7 @@ _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1,
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, digest, fp) for every row; fp is the fingerprint as a signed long, digest a hash of the text as it stands."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -208,14 +209,17 @@ def _key(column, positions: tuple[int, ...]):
     return key
 
 
-def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, block: int = 2048) -> DataFrame:
-    """(a, b) between distinct fingerprints of classes(fp): spanning forests of all links at most max_bits apart."""
+def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, block: int = 2048, files: int | None = None) -> DataFrame:
+    """(a, b) between distinct fingerprints of classes(fp): spanning forests of all links at most max_bits apart.
+
+    What is kept between the steps is written in at most so many files.
+    """
     if max_bits > 4:
         raise ValueError("the index guarantees 4 shared bytes, so at most 4 differing bits")
     fp = F.col("fp")
     triples = cover()
     posted = classes.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("subset"), _key(fp, t).alias("key")) for i, t in enumerate(triples)])).alias("p"), "fp")
-    first = checkpoint(_posting_links(posted.select("p.subset", "p.key", "fp"), max_bits, refine_above))
+    first = checkpoint(_posting_links(posted.select("p.subset", "p.key", "fp"), max_bits, refine_above), files)
     found = first.filter(F.col("b").isNotNull()).select("a", "b")
     overlong = first.filter(F.col("b").isNull())
     if overlong.isEmpty():
@@ -228,14 +232,14 @@ def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, bloc
         options = F.array(*[F.struct(F.lit(sum(1 << p for p in q)).cast("long").alias("subset"), _key(F.col("a"), q).alias("key")) for q in further])
         choices = F.when(F.col("subset") == i, options) if i == 0 else choices.when(F.col("subset") == i, options)
     again = overlong.select(F.explode(choices).alias("p"), F.col("a").alias("fp")).select("p.subset", "p.key", "fp").distinct()
-    second = checkpoint(_posting_links(again, max_bits, block))
+    second = checkpoint(_posting_links(again, max_bits, block), files)
     found = found.unionAll(second.filter(F.col("b").isNotNull()).select("a", "b"))
     overlong = second.filter(F.col("b").isNull())
     if overlong.isEmpty():
         return found
 
     # Still longer: split into blocks, and compare every two blocks in a task of their own.
-    blocks = checkpoint(overlong.groupBy("subset", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("n")))
+    blocks = overlong.groupBy("subset", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     member = overlong.select("subset", "key", F.col("a").alias("fp")).join(blocks, ["subset", "key"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = pairs.select("subset", "key", "fp", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"))
@@ -254,25 +258,70 @@ def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, bloc
 # --- components -----------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of edges a-b that aren't the smallest of their component."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def contracted(edges: DataFrame, held: int) -> DataFrame:
+    """Edges (u, v) with the same components: each task turns the edges it has, at most some ``held`` at a time, into stars."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        u = v = np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((u, v)))
+            if len(u) >= held:
+                u, v = stars(u, v)
+                if len(u) >= held // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    u = v = np.zeros(0, np.int64)
+        u, v = stars(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, *, per_task: int = 250_000, max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, root) of every node of edges(a, b), root being the smallest node of its component.
 
-    Alternating large-star and small-star contractions; a hub's neighbours are never gathered, only its minimum.
+    Each round, tasks of about ``per_task`` edges turn what they hold into stars, which shrinks the edges without a
+    shuffle; where that is more than one task, a large-star and a small-star step follow, in which a hub's neighbours
+    are never gathered, only its minimum. Edges that fit a task are settled by the first of these.
     """
-    edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    held = 8 * per_task
+    edges = checkpoint(contracted(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), held), files)
+    count, state = edges.count(), None
     for _ in range(max_rounds):
+        tasks = max(1, -(-count // per_task))
+        edges = checkpoint(contracted(edges.coalesce(tasks), held))
+        if tasks == 1:
+            break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         joined = large.join(lower, F.col("u") == F.col("x"))
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select(F.col("x").alias("u"), F.col("m").alias("v")))
-        edges = checkpoint(small.filter("u <> v").distinct())
+        edges = checkpoint(small.filter("u <> v").distinct(), tasks)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, count = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -280,9 +329,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(id, digest, fp, component) for every row: component is the smallest id reachable over links."""
+    files = splits_of(docs)
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    classes = checkpoint(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits)), id_col)
+    classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits, files=files), files=files), id_col).coalesce(files)
 
 
 def named_components(marked: DataFrame, classes: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
@@ -304,4 +354,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.join(first.select("_k_id", "_k_digest"), keyed[id_col].eqNullSafe(F.col("_k_id")) & (F.col("_k_text") == F.col("_k_digest")), "left_semi")
     if not first.filter("_k_n > 1").isEmpty():
         joined = joined.dropDuplicates([id_col, "_k_text"])
-    return joined.select(*[keyed[c] for c in docs.columns])
+    return joined.select(*[keyed[c] for c in docs.columns]).coalesce(splits_of(docs))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, worker_cache
+from .common import bound_batches, id_crc, worker_cache
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     """(id, score, predicted) for every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     weights, bias, fitted = model.weights, model.bias, model.fitted
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -166,15 +167,16 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter(id_crc(F.col(id_col)) % 5 != 0)
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier, fitted on the training fold, doesn't call toxic; all columns stay.
 
     The text is scored in the same pass that carries the row, so nothing is shuffled.
     """
-    model = fit(docs, training_labels(labels))
+    model = fit(docs, training_labels(labels, id_col), id_col=id_col, text_col=text_col)
     if not model.fitted or not docs.columns:
         return docs
-    weights, bias, at = model.weights, model.bias, docs.columns.index("text")
+    weights, bias, at = model.weights, model.bias, docs.columns.index(text_col)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

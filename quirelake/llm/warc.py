@@ -24,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, open_fs, publish, scratch_dir
+from .common import bound_batches, checkpoint, open_fs, publish, scratch_dir
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n")
@@ -156,6 +156,7 @@ def write_archives(assigned: DataFrame, uri: str) -> DataFrame:
         if count:
             yield pa.RecordBatch.from_pydict({"path": [f"{uri}/{name}"], "bytes": [size], "records": [count]})
 
+    bound_batches(assigned.sparkSession)
     return checkpoint(assigned.mapInArrow(run, "path string, bytes long, records long"))
 
 

@@ -52,6 +52,40 @@ def test_long_lists_stay_linked(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [0]
 
 
+def test_long_lists_lose_no_link(spark):
+    """Chains of pairs at the threshold inside one long posting list, which its neighbours and its forest don't show."""
+    draw = np.random.default_rng(3)
+    common, groups, rows = [f"c{i}" for i in range(400)], 40, []
+    for g in range(groups):
+        words = [*common, *[f"g{g}w{i}" for i in range(56)]]
+        for _ in range(6):
+            own = list(words)
+            for at in draw.integers(400, len(own), 2):
+                own[at] = f"x{len(rows)}y{at}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == slow_kept(docs.collect())
+
+
+def test_crossing_pairs_are_all_pairs_of_different_components(spark):
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 256, 48).astype(np.uint8)
+    marks = []
+    for _ in range(60):
+        own = base.copy()
+        changed = draw.choice(48, draw.integers(0, 30), replace=False)
+        own[changed] = draw.integers(0, 256, len(changed))
+        marks.append(own)
+    classes = spark.createDataFrame([(k, [7], m.tobytes()) for k, m in enumerate(marks)], "fp long, keys array<long>, marks binary")
+    rooted = spark.createDataFrame([(k, k % 3) for k in range(60)], "node long, root long")
+    lists = resemblance.postings(classes).selectExpr("key AS list").distinct()
+    want = {(a, b) for a, b in combinations(range(60), 2) if a % 3 != b % 3 and (marks[a] == marks[b]).sum() >= resemblance.LEAST}
+    assert want
+    for block in (1024, 7):
+        assert {(r.a, r.b) for r in resemblance.crossing(classes, lists, rooted, block=block).collect()} == want
+
+
 def test_a_long_list_gives_a_spanning_forest():
     keys, marks = np.zeros(100, np.int64), np.zeros((100, 48), np.uint8)
     pairs = resemblance.list_pairs(keys, marks)

@@ -85,6 +85,27 @@ def test_long_postings_are_refined_and_blocked(spark):
         assert components_of(spark, fps, **options) == want
 
 
+def test_components_equal_union_find_in_one_task_and_in_many(spark):
+    draw = random.Random(4)
+    chain = [(i, i + 1) for i in range(-300, 300)]
+    edges = [(draw.randrange(1000, 3000), draw.randrange(1000, 3000)) for _ in range(1200)] + chain + [(5000, k) for k in range(4000, 4400)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for per_task in (250_000, 400, 60):
+        got = simhash.components(table, per_task=per_task).collect()
+        assert sorted((r.node, r.root) for r in got) == sorted((x, find(x)) for x in linked)
+    assert simhash.components(table.limit(0)).count() == 0
+
+
 def test_defined_results(spark):
     rows = [(3, None, "a"), (1, "", "b"), (2, " \t\n", "c"), (9, "one two", "d"), (9, "one two", "d"), (None, "one two", "e"), (None, "quite other words stand here", "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
