@@ -10,12 +10,12 @@ A shard holds documents in ascending order of their id. Its parts, in this order
 - a sparse index: for each block its last key, offset and length; a Bloom filter over the keys; a JSON summary.
 - a footer of fixed size: offset and length of the three, and a magic number.
 
-Writing: documents are dealt by ranges of the id and sorted, a task writes a shard, and a shard appears under its
-final name only when whole, so a task that runs again replaces it. Reading: a task a shard, block by block, or one
+Writing: documents are dealt by ranges of the id and sorted, a task writes one shard after the other, each up to a size,
+and a shard appears under its final name only when whole, so a task that runs again replaces it. Reading: a task a shard, block by block, or one
 key by a binary search of the sparse index after the Bloom filter.
 
 Defined results: null texts count as empty (the end id alone); repeated ids stay as entries of their own, ordered by
-text; a null id is stored as the smallest key and read back as null; an empty table has no shards and no rows;
+a hash of the text; very long texts are entries like any other; a null id is stored as the smallest key and read back as null; an empty table has no shards and no rows;
 columns beyond the id and the text are ignored.
 """
 
@@ -23,25 +23,20 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
 import struct
 import zlib
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, open_fs, publish, scratch_dir, worker_cache
+from .common import bound_batches, checkpoint, open_fs, publish, scratch_dir, worker_cache
 
 MAGIC = b"QLSST\x00\x01\n"
 FOOTER = "<6Q8s"
-#: Distinct pieces whose ids a Python worker keeps, of some 200 bytes each; others are encoded again.
-CACHED_PIECES = 1_000_000
-#: White space before a space or a line break: no place to cut.
-_RUNS = re.compile(r"\s[ \n]")
-_BEFORE = re.compile(r"(?<=\S)(?=[ \n])")
+#: Distinct pieces whose ids a Python worker keeps, of some 60 bytes each; beyond them it starts afresh.
+CACHED_PIECES = 2_000_000
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -52,57 +47,186 @@ class Encoder:
 
     The byte-level pre-tokenizer never lets a token run from a non-space character into following white space, so a
     text can be cut before each space or line break that follows a non-space character without changing its ids.
-    The library then encodes each distinct piece once. New pieces that start with a space are encoded many in a row and
+    The library then encodes each distinct piece once. Texts stay UTF-8 in one buffer and are cut, looked up and put
+    together in numpy: a piece of up to 15 bytes is two numbers, its bytes and its length, in a hash table of
+    arrays; longer ones are few and go through a dict. New pieces that start with a space are encoded many in a row and
     told apart by the tokens that start with a space, of which a piece has one, its first.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
+        self.end = [] if end_id is None else [end_id]
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table; place 0 is the end of a text."""
+        self.long: dict[bytes, int] = {}
+        self.count, self.used = 1, len(self.end)
+        self.first, self.sizes, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4")
+        self.sizes[0], self.ids[: self.used] = self.used, self.end
+        self._table(14)
+
+    def _table(self, bits: int) -> None:
+        self.bits, self.low, self.high, self.value = bits, np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The place of every piece, -1 for those not known."""
+        out, left, at, mask = np.full(len(low), -1, np.int64), np.arange(len(low)), self._slot(low, high), (1 << self.bits) - 1
+        while len(left):
+            value = self.value[at]
+            same = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (value >= 0)
+            out[left[same]] = value[same]
+            more = ~same & (value >= 0)
+            left, at = left[more], (at[more] + 1) & mask
+        return out
+
+    def _insert(self, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> None:
+        """Add distinct pieces that aren't in the table."""
+        if 2 * self.count > 1 << self.bits:
+            kept = self.value >= 0
+            held = self.low[kept], self.high[kept], self.value[kept]
+            self._table(int(self.count).bit_length() + 2)
+            self._insert(*held)
+        at, mask = self._slot(low, high), (1 << self.bits) - 1
+        while len(at):
+            free = self.value[at] < 0
+            self.value[at[free]] = places[free]
+            won = free & (self.value[at] == places)
+            self.low[at[won]], self.high[at[won]] = low[won], high[won]
+            low, high, places, at = low[~won], high[~won], places[~won], (at[~won] + 1) & mask
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Store the ids of new pieces, one after the other; returns the pieces' places."""
+        places = np.arange(self.count, self.count + len(sizes))
+        while len(self.first) < self.count + len(sizes):
+            self.first, self.sizes = np.concatenate([self.first, self.first]), np.concatenate([self.sizes, self.sizes])
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.first[places], self.sizes[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count, self.used = self.count + len(sizes), self.used + len(ids)
+        return places
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        rows = [p for p in pieces if p[:1] == " " and not p[-1].isspace() and "<|" not in p]
-        known = set(rows)
-        groups = [rows[at : at + 400] for at in range(0, len(rows), 400)]
-        rest = [p for p in pieces if p not in known]
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(group):
-                rest += group
-                continue
-            edges = [*(starts * 4).tolist(), len(ids) * 4]
-            raw = ids.tobytes()
-            for piece, i, j in zip(group, edges, edges[1:], strict=False):
-                self.ids[piece] = raw[i:j]
-        for piece, ids in zip(rest, self._encode(rest), strict=True):
-            self.ids[piece] = ids.tobytes()
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The places of new pieces, given by their place in the data."""
+        flat = data[spans(starts, lengths)]
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        blank = np.add.reduceat((flat <= 32) | (flat == ord("<")), edges[:-1])
+        plain = (flat[edges[:-1]] == 32) & (blank == 1)
+        rows = np.flatnonzero(plain)
+        found = np.zeros(len(starts), np.int64)
+        own = [rows[at : at + 400] for at in range(0, len(rows), 400)]
+        rest = [np.flatnonzero(~plain)]
+        text = [data[spans(starts[g], lengths[g])].tobytes().decode("utf-8") for g in own]
+        for group, ids in zip(own, self._encode(text), strict=True):
+            marks = np.flatnonzero(self.spaced[ids])
+            if len(marks) == len(group):
+                found[group] = self._keep(ids, np.diff(np.append(marks, len(ids))))
+            else:
+                rest.append(group)
+        single = np.concatenate(rest)
+        raw = flat.tobytes()
+        each = self._encode([raw[edges[k] : edges[k + 1]].decode("utf-8") for k in single.tolist()])
+        if each:
+            found[single] = self._keep(np.concatenate(each), np.array([len(e) for e in each]))
+        return found
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds of the texts in them) of the texts between the bounds in a buffer of UTF-8."""
+        if self.count > CACHED_PIECES:
+            self._forget()
+        starts = piece_starts(data, bounds)
+        lengths = np.diff(np.append(starts, bounds[-1]))
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        words = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+        short = lengths < 16
+        at, n = starts[short], lengths[short]
+        low = words[at] & _MASKS[np.minimum(n, 8)]
+        high = (words[at + np.minimum(n, 8)] & _MASKS[np.maximum(n - 8, 0)]) | (n.astype(np.uint64) << np.uint64(56))
+        known = self._find(low, high)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            order = missing[np.lexsort((high[missing], low[missing]))]
+            new = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
+            first = order[new]
+            places = self._learn(data, at[first], n[first])
+            self._insert(low[first], high[first], places)
+            known[order] = places[np.cumsum(new) - 1]
+        places = np.zeros(len(starts), np.int64)
+        places[short] = known
+        long = np.flatnonzero(~short)
+        if len(long):
+            raw = [data[a : a + k].tobytes() for a, k in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)]
+            fresh = list(dict.fromkeys(r for r in raw if r not in self.long))
+            for at in range(0, len(fresh), 1000):
+                some = fresh[at : at + 1000]
+                each = self._encode([r.decode("utf-8") for r in some])
+                self.long.update(zip(some, self._keep(np.concatenate(each), np.array([len(e) for e in each])).tolist(), strict=True))
+            places[long] = [self.long[r] for r in raw]
+        # Place 0, the end, after the pieces of every text.
+        upto = np.searchsorted(starts, bounds[1:])
+        places = np.insert(places, upto, 0)
+        sizes = self.sizes[places]
+        ids = self.ids[spans(self.first[places], sizes)]
+        ends = np.cumsum(sizes)[upto + np.arange(len(upto))] if len(upto) else upto
+        return ids, np.concatenate([[0], ends])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian unsigned 32-bit integers."""
-        cut = [pieces_of(t) if t else [] for t in texts]
-        missing = set().union(*cut).difference(self.ids)
-        if len(self.ids) + len(missing) > CACHED_PIECES:
-            # The frequent pieces came first, so the later half goes.
-            self.ids = dict(islice(self.ids.items(), CACHED_PIECES // 2))
-            missing = set().union(*cut).difference(self.ids)
-        if missing:
-            self._learn(list(missing))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, pieces)) + self.end for pieces in cut]
+        raw = [(t or "").encode("utf-8") for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
+        ids, ends = self.encode(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        return [ids[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+#: The lowest k bytes of a number, for k from 0 to 8.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every span, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces start: at every text that isn't empty, and at each space or line break after a character other than white space."""
+    at = np.flatnonzero((data[1:] == 32) | (data[1:] == 10)) + 1
+    before = data[at - 1]
+    at, before = at[before > 32], before[before > 32]
+    # White space outside of ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+    odd = np.flatnonzero(before >= 0x80)
+    c, b, a = (data[np.maximum(at[odd] - k, 0)].astype(np.int64) for k in (1, 2, 3))
+    pair, triple = b << 8 | c, a << 16 | b << 8 | c
+    wide = ((triple >= 0xE28080) & (triple <= 0xE2808A)) | np.isin(triple, (0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080))
+    marked = np.zeros(len(data), bool)
+    marked[at] = True
+    marked[at[odd[wide | (pair == 0xC285) | (pair == 0xC2A0)]]] = False
+    marked[bounds[:-1][np.diff(bounds) > 0]] = True
+    return np.flatnonzero(marked)
 
 
-def pieces_of(text: str) -> list[str]:
-    """A text cut before each space or line break that follows a character other than white space."""
-    if "\0" in text or _RUNS.search(text):
-        return _BEFORE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of an Arrow string column, without a copy; a null has no bytes."""
+    import pyarrow as pa
+
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return held, bounds - bounds[0]
 
 
 # --- the file format ------------------------------------------------------------------------------------------------
@@ -136,9 +260,8 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def pack_ids(ids: bytes) -> bytes:
-    values = np.frombuffer(ids, "<u4")
-    return b"\x02" + values.astype("<u2").tobytes() if not len(values) or values.max() < 1 << 16 else b"\x04" + ids
+def pack_ids(ids: np.ndarray) -> bytes:
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def unpack_ids(value: bytes) -> bytes:
@@ -181,7 +304,7 @@ class ShardWriter:
         self.block, self.last, self.index, self.keys = bytearray(), b"", [], []
         self.entries = self.tokens = 0
 
-    def add(self, key: bytes, ids: bytes) -> None:
+    def add(self, key: bytes, ids: np.ndarray) -> None:
         value, shared = pack_ids(ids), 0
         if self.block:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
@@ -189,7 +312,7 @@ class ShardWriter:
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         if key != self.last or not self.keys:
             self.keys.append(key)
-        self.last, self.entries, self.tokens = key, self.entries + 1, self.tokens + len(ids) // 4
+        self.last, self.entries, self.tokens = key, self.entries + 1, self.tokens + len(ids)
         if len(self.block) >= self.block_bytes:
             self._flush()
 
@@ -268,43 +391,61 @@ class Shard:
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shards: int | None = None) -> DataFrame:
-    """Encode and write; returns the manifest (shard, path, entries, tokens, bytes), a row a shard, already computed."""
-    count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write_shards(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, tasks: int | None = None, shard_bytes: int = 1 << 28) -> DataFrame:
+    """Encode and write; returns the manifest (task, shard, path, entries, tokens, bytes), a row a shard, already computed.
+
+    A task closes a shard at ``shard_bytes`` and starts the next. Documents are dealt by ranges of the id and a hash of the
+    text, so that rows of one id can lie in several tasks.
+    """
+    count = tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(docs.sparkSession)
+
+    def entries(batches):
+        encode = worker_cache("encoders").setdefault((tokenizer, end_id), None)
+        if encode is None:
+            encode = worker_cache("encoders")[tokenizer, end_id] = Encoder(tokenizer, end_id)
+        for batch in batches:
+            # In slices, so that few ids are held at once.
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids, ends = encode.encode(*text_buffer(part.column(1)))
+                for doc_id, i, j in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    yield key_bytes(doc_id), ids[i:j]
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard, state = TaskContext.get().partitionId(), {}
+        task, shard, rest = TaskContext.get().partitionId(), 0, entries(batches)
+        first = next(rest, None)
+        while first is not None:
+            state = {}
+
+            def write(out, first=first, state=state):
+                writer, entry = ShardWriter(out), first
+                while entry is not None and (writer.entries == 0 or out.tell() < shard_bytes):
+                    writer.add(*entry)
+                    entry = next(rest, None)
+                writer.close()
+                state.update(entries=writer.entries, tokens=writer.tokens, following=entry)
 
-        def write(out):
-            writer = ShardWriter(out)
-            encode = worker_cache("encoders").setdefault((tokenizer, end_id), None)
-            if encode is None:
-                encode = worker_cache("encoders")[tokenizer, end_id] = Encoder(tokenizer, end_id)
-            for batch in batches:
-                # A long batch is encoded in slices, so that few ids are held at once.
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                        writer.add(key_bytes(doc_id), ids)
-            writer.close()
-            state.update(entries=writer.entries, tokens=writer.tokens)
+            name = f"shard-{task:06d}-{shard:04d}.sst"
+            size = publish(uri, name, write)
+            yield pa.RecordBatch.from_pydict({"task": [task], "shard": [shard], "path": [f"{uri}/{name}"], "entries": [state["entries"]], "tokens": [state["tokens"]], "bytes": [size]})
+            first, shard = state["following"], shard + 1
 
-        name = f"shard-{shard:06d}.sst"
-        size = publish(uri, name, write)
-        if state["entries"]:
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{uri}/{name}"], "entries": [state["entries"]], "tokens": [state["tokens"]], "bytes": [size]})
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = picked.withColumn("digest", F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.col("digest")]
+    dealt = keyed.repartitionByRange(count, *order).sortWithinPartitions(*order, "text").select("id", "text")
+    return checkpoint(dealt.mapInArrow(run, "task long, shard long, path string, entries long, tokens long, bytes long"))
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = picked.repartitionByRange(count, order[0]).sortWithinPartitions(*order)
-    return checkpoint(dealt.mapInArrow(run, "shard long, path string, entries long, tokens long, bytes long"))
 
+def read_shards(manifest: DataFrame, *, id_col: str = "doc_id", task_bytes: int = 4 << 20) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every entry, read back from the files; start counts the ids of all entries before it.
 
-def read_shards(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every entry, read back from the files; start counts the ids of all entries before it."""
+    A task reads shards of about ``task_bytes``.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -323,10 +464,10 @@ def read_shards(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                             rows = {k: [] for k in rows}
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], list(rows))
 
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("task", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = manifest.withColumn("start", before)  # a row a shard
-    tasks = max(1, manifest.count())
-    found = starts.select("path", "start").repartition(tasks, "path").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, -(-(manifest.agg(F.sum("bytes")).first()[0] or 0) // task_bytes))
+    found = starts.select("path", "start").repartition(tasks).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_col)
 
 

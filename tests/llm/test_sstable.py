@@ -45,7 +45,7 @@ def test_shard_round_trip_and_lookup():
     writer = sstable.ShardWriter(out, block_bytes=200)
     values = [struct.pack("<I", i) * (i % 5) + (struct.pack("<I", 70_000) if i % 3 == 0 else b"") for i in range(len(keys))]
     for key, ids in zip(keys, values, strict=True):
-        writer.add(sstable.key_bytes(key), ids)
+        writer.add(sstable.key_bytes(key), np.frombuffer(ids, "<u4"))
     writer.close()
     shard = sstable.Shard(out)
     assert [(sstable.key_id(k), v) for k, v in shard] == list(zip(keys, values, strict=True))
@@ -58,7 +58,7 @@ def test_shard_round_trip_and_lookup():
 def test_damage_is_found():
     out = Buffer()
     writer = sstable.ShardWriter(out)
-    writer.add(sstable.key_bytes(1), struct.pack("<I", 9))
+    writer.add(sstable.key_bytes(1), np.array([9], "<u4"))
     writer.close()
     raw = bytearray(out.getvalue())
     raw[3] ^= 255
