@@ -63,6 +63,11 @@ def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows as one column `row`, beside which a helper's columns can have any name; `row.*` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def splits_of(df: DataFrame) -> int:
     """How many partitions a table is read in: no intermediate table of it needs more files than that."""
     return max(1, df.rdd.getNumPartitions())

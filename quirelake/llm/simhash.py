@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, splits_of
+from .common import bound_batches, checkpoint, packed, splits_of
 
 BYTES = 8
 #: Three groups of positions: a triple is posted if it lies within a group or has two in one and one in the next.
@@ -349,9 +349,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows are named by id and text. Of rows equal in both one stays; rows without an id stay if their component has none.
     """
     found = checkpoint(find(docs, id_col=id_col, text_col=text_col))
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("_k_id"), F.col("digest").alias("_k_digest")).agg(F.count("*").alias("_k_n"))
-    keyed = docs.withColumn("_k_text", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(first.select("_k_id", "_k_digest"), keyed[id_col].eqNullSafe(F.col("_k_id")) & (F.col("_k_text") == F.col("_k_digest")), "left_semi")
-    if not first.filter("_k_n > 1").isEmpty():
-        joined = joined.dropDuplicates([id_col, "_k_text"])
-    return joined.select(*[keyed[c] for c in docs.columns]).coalesce(splits_of(docs))
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("k_id"), F.col("digest").alias("k_digest")).agg(F.count("*").alias("k_n"))
+    keyed = packed(docs).withColumn("text", F.xxhash64(F.col("row")[text_col])).withColumn("id", F.col("row")[id_col])
+    joined = keyed.join(first.select("k_id", "k_digest"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("text") == F.col("k_digest")), "left_semi")
+    if not first.filter("k_n > 1").isEmpty():
+        joined = joined.dropDuplicates(["id", "text"])
+    return joined.select("row.*").coalesce(splits_of(docs))

@@ -9,9 +9,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import chat, mixing, warc
-from quirelake.llm.queries import op8_mixing, op9_warc, op10_chat
+from quirelake.llm.queries import op8_mixing, op9_warc, op10_chat, quality_weights
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,19 +55,53 @@ def test_mixing_query(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, op8_mixing(spark, SF).collect()))
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 1024])
-def test_mixing_contract(spark, buckets):
+def test_mixing_query_equals_slow_selection(spark):
+    """The whole query against a sort of every source by its keys."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = quality_weights(spark, sf).groupBy("doc_id").agg(F.max("quality").alias("q"))
+    key = mixing.es_key(F.col("doc_id"), F.xxhash64("text"), F.coalesce("q", F.lit(1.0)), 17)
+    rows = docs.join(scores, "doc_id", "left").select("doc_id", "source", key.alias("key"), mixing.word_count(F.col("text")).alias("size")).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = {}
+    for source, target in slow_targets(sizes).items():
+        epochs = min(3, int(target / sizes[source] + 1e-12))
+        budget, upto = target - epochs * sizes[source], 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: r.key):
+            upto += r.size
+            want[r.doc_id] = (epochs + (budget > 0 and upto - r.size / 2 < budget)) * r.size
+    assert {r.doc_id: r.taken for r in op8_mixing(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("edge_rows", [0, 3, 100_000])
+def test_mixing_contract(spark, edge_rows):
     draw = random.Random(4)
     rows = [(i, " ".join(["w"] * draw.choice([1, 2, 5, 40, 300])), "c") for i in range(60)] + [(100 + i, "w w w", "a") for i in range(5)] + [(200, "", "b"), (201, None, "b"), (300, "lone word", None), (301, "x " * 20_000, "d"), (None, "w w", "e"), (5, "same", "f"), (5, "same", "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("doc_id", "doc_id")
-    got = mixing.mix(docs, buckets=buckets).collect()
+    got = mixing.mix(docs, edge_rows=edge_rows).collect()
     assert len(got) == len(rows)
     check_mix(got)
-    if buckets == 1024:
+    if edge_rows == 100_000:
         repeated = mixing.repeat_by_mix(docs, mixing.mix(docs))
         assert repeated.columns == docs.columns
         assert repeated.filter("source = 'c'").count() == sum(r.copies for r in got if r.source == "c")
         assert mixing.mix(docs.limit(0)).count() == 0
+    else:
+        assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs).collect()))
+
+
+def test_equal_rows_come_as_often_as_the_mix_holds_them(spark):
+    """400 equal rows of 5 words and a source that takes most of the whole: a target of 3,200 words, 640 copies."""
+    rows = [(7, "a b c d e", "x", "row", 1) for _ in range(400)] + [(1000 + i, "w " * 1200, "y", "n", 2) for i in range(1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, n long").repartition(7)
+    mixed = mixing.mix(docs, weights=(3200.0, 0.0001))
+    target = {r.source: r.target for r in mixed.collect()}["x"]
+    assert abs(target - 3200) < 1
+    out = mixing.repeat_by_mix(docs, mixed)
+    assert out.columns == docs.columns
+    assert out.filter("source = 'x'").count() * 5 == 3200
 
 
 def test_quality_is_preferred(spark):
