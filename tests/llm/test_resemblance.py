@@ -68,22 +68,47 @@ def test_long_lists_lose_no_link(spark):
     assert got == slow_kept(docs.collect())
 
 
-def test_crossing_pairs_are_all_pairs_of_different_components(spark):
+def test_crossing_members_and_links_equal_all_pairs(spark):
     draw = np.random.default_rng(6)
     base = draw.integers(0, 256, 48).astype(np.uint8)
-    marks = []
+    marks, sets = [], []
     for _ in range(60):
         own = base.copy()
         changed = draw.choice(48, draw.integers(0, 30), replace=False)
         own[changed] = draw.integers(0, 256, len(changed))
         marks.append(own)
+        sets.append(sorted({*draw.choice(100, draw.integers(82, 100), replace=False).tolist()}))
     classes = spark.createDataFrame([(k, [7], m.tobytes()) for k, m in enumerate(marks)], "fp long, keys array<long>, marks binary")
-    rooted = spark.createDataFrame([(k, k % 3) for k in range(60)], "node long, root long")
+    root = [0 if k < 25 else k % 7 + 30 if k < 50 else k for k in range(60)]
+    rooted = spark.createDataFrame(list(enumerate(root)), "node long, root long")
     lists = resemblance.postings(classes).selectExpr("key AS list").distinct()
-    want = {(a, b) for a, b in combinations(range(60), 2) if a % 3 != b % 3 and (marks[a] == marks[b]).sum() >= resemblance.LEAST}
-    assert want
+    apart = [(a, b) for a, b in combinations(range(60), 2) if root[a] != root[b]]
+    want = {x for a, b in apart if (marks[a] == marks[b]).sum() >= resemblance.LEAST for x in (a, b)}
+    every = spark.createDataFrame([(1, k, root[k]) for k in range(60)], "key long, fp long, root long")
+    shingles = spark.createDataFrame(list(enumerate(sets)), "fp long, shingles array<long>")
+    similar = [(a, b) for a, b in apart if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.85]
+    assert 0 < len(want) < 60 and 0 < len(similar) < len(apart)
     for block in (1024, 7):
-        assert {(r.a, r.b) for r in resemblance.crossing(classes, lists, rooted, block=block).collect()} == want
+        assert {r.fp for r in resemblance.crossing(classes, lists, rooted, block=block).collect()} == want
+        links = {tuple(sorted(map(int, r))) for r in resemblance.crossing_links(every, shingles, similarity=0.85, block=block).collect()}
+        assert links <= set(similar) and groups(links, root) == groups(similar, root)
+
+
+def groups(links, root):
+    """The components that links make of roots."""
+    parent = {r: r for r in root}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(root[a])] = find(root[b])
+    found = {}
+    for r in root:
+        found.setdefault(find(r), set()).add(r)
+    return sorted(map(sorted, found.values()))
 
 
 def test_a_long_list_gives_a_spanning_forest():
