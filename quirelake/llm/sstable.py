@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bound_batches, checkpoint, open_fs, publish, scratch_dir, worker_cache
+from .words import SHORT, Table, distinct_keys, joined, short_keys, spans, text_buffer
 
 MAGIC = b"QLSST\x00\x01\n"
 FOOTER = "<6Q8s"
 #: Distinct pieces whose ids a Python worker keeps, of some 60 bytes each; beyond them it starts afresh.
-CACHED_PIECES = 2_000_000
+CACHED_PIECES = 500_000
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -48,9 +49,9 @@ class Encoder:
     The byte-level pre-tokenizer never lets a token run from a non-space character into following white space, so a
     text can be cut before each space or line break that follows a non-space character without changing its ids.
     The library then encodes each distinct piece once. Texts stay UTF-8 in one buffer and are cut, looked up and put
-    together in numpy: a piece of up to 15 bytes is two numbers, its bytes and its length, in a hash table of
-    arrays; longer ones are few and go through a dict. New pieces that start with a space are encoded many in a row and
-    told apart by the tokens that start with a space, of which a piece has one, its first.
+    together in numpy: pieces of up to 15 bytes are keys of a table of arrays; longer ones are few and go through a
+    dict. New pieces that start with a space are encoded many in a row and told apart by the tokens that start with a
+    space, of which a piece has one, its first.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
@@ -68,41 +69,7 @@ class Encoder:
         self.count, self.used = 1, len(self.end)
         self.first, self.sizes, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4")
         self.sizes[0], self.ids[: self.used] = self.used, self.end
-        self._table(14)
-
-    def _table(self, bits: int) -> None:
-        self.bits, self.low, self.high, self.value = bits, np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-
-    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The place of every piece, -1 for those not known."""
-        out, left, at, mask = np.full(len(low), -1, np.int64), np.arange(len(low)), self._slot(low, high), (1 << self.bits) - 1
-        while len(left):
-            value = self.value[at]
-            same = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (value >= 0)
-            out[left[same]] = value[same]
-            more = ~same & (value >= 0)
-            left, at = left[more], (at[more] + 1) & mask
-        return out
-
-    def _insert(self, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> None:
-        """Add distinct pieces that aren't in the table."""
-        if 2 * self.count > 1 << self.bits:
-            kept = self.value >= 0
-            held = self.low[kept], self.high[kept], self.value[kept]
-            self._table(int(self.count).bit_length() + 2)
-            self._insert(*held)
-        at, mask = self._slot(low, high), (1 << self.bits) - 1
-        while len(at):
-            free = self.value[at] < 0
-            self.value[at[free]] = places[free]
-            won = free & (self.value[at] == places)
-            self.low[at[won]], self.high[at[won]] = low[won], high[won]
-            low, high, places, at = low[~won], high[~won], places[~won], (at[~won] + 1) & mask
+        self.table = Table()
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Store the ids of new pieces, one after the other; returns the pieces' places."""
@@ -149,21 +116,17 @@ class Encoder:
             self._forget()
         starts = piece_starts(data, bounds)
         lengths = np.diff(np.append(starts, bounds[-1]))
-        padded = np.concatenate([data, np.zeros(16, np.uint8)])
-        words = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
-        short = lengths < 16
+        short = lengths <= SHORT
         at, n = starts[short], lengths[short]
-        low = words[at] & _MASKS[np.minimum(n, 8)]
-        high = (words[at + np.minimum(n, 8)] & _MASKS[np.maximum(n - 8, 0)]) | (n.astype(np.uint64) << np.uint64(56))
-        known = self._find(low, high)
+        low, high = short_keys(data, at, n)
+        known = self.table.find(low, high)
         missing = np.flatnonzero(known < 0)
         if len(missing):
-            order = missing[np.lexsort((high[missing], low[missing]))]
-            new = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
-            first = order[new]
+            first, number = distinct_keys(low[missing], high[missing])
+            first = missing[first]
             places = self._learn(data, at[first], n[first])
-            self._insert(low[first], high[first], places)
-            known[order] = places[np.cumsum(new) - 1]
+            self.table.add(low[first], high[first], places)
+            known[missing] = places[number]
         places = np.zeros(len(starts), np.int64)
         places[short] = known
         long = np.flatnonzero(~short)
@@ -185,22 +148,10 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian unsigned 32-bit integers."""
-        raw = [(t or "").encode("utf-8") for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
-        ids, ends = self.encode(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        ids, ends = self.encode(*joined(texts))
         return [ids[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-#: The lowest k bytes of a number, for k from 0 to 8.
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of every span, one span after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where pieces start: at every text that isn't empty, and at each space or line break after a character other than white space."""
     at = np.flatnonzero((data[1:] == 32) | (data[1:] == 10)) + 1
@@ -218,17 +169,6 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marked)
 
 
-def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bounds) of an Arrow string column, without a copy; a null has no bytes."""
-    import pyarrow as pa
-
-    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
-    return held, bounds - bounds[0]
-
-
 # --- the file format ------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from quirelake.llm import language_id, lm_scoring, toxicity
+from quirelake.llm import words as words_module
 from quirelake.llm.queries import op1_language_id, op2_toxicity, op5_lm_scoring
 
 SF = "/root/testdata/sf0.01"
@@ -85,28 +86,95 @@ def test_base_scores_equal_brute_force_and_model_beats_them(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+TEXTS = [" ".join(w for j, w in enumerate("the cat sat on mat and rested Over there near café Straße quietly 7st 8st lonely".split()) if i % (j // 2 + 1) == 0) for i in range(60)]
+
+
+def small_model(spark, texts=None):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS if texts is None else texts)] + [(100, None, "y"), (None, "", "z"), (101, "a" * 40 + " new ZEBRA sat é", "w"), (102, "the the " * 30_000, "w"), (7, TEXTS[7], "x")], "doc_id long, text string, score string")
+    fold = docs.filter("doc_id < 100 OR doc_id IS NULL")
+    counts = lm_scoring.stored(lm_scoring.count_words(fold), "t")
+    vocabulary = lm_scoring.build_vocabulary(counts, words=6, classes=5, inner=3, frequent=18)
+    return docs, counts, vocabulary, lm_scoring.train(fold, vocabulary)
+
+
 def test_model_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, f"the cat sat on the mat {i % 7} and rested", "x") for i in range(60)] + [(100, None, "y"), (None, "", "z")], "doc_id long, text string, score string")
-    counts = lm_scoring.stored(lm_scoring.count_words(docs), "t")
-    vocabulary = lm_scoring.build_vocabulary(counts, words=6, classes=4)
-    flat = lm_scoring.train(docs, vocabulary)
-    ids, places, _ = lm_scoring.ids_of(["the cat sat"], vocabulary)
-    sums = np.zeros(len(places))
-    for output in range(vocabulary.size):
-        changed = [ids.copy() for _ in places]
-        for row, place in zip(changed, places, strict=True):
-            row[place] = output
-        sums += [10 ** lm_scoring.log_probabilities(row, np.array([place]), flat, vocabulary)[0] for row, place in zip(changed, places, strict=True)]
-    assert np.allclose(sums, 1.0, atol=1e-5)
-    # Within a class, the words seen and one unseen word share the whole.
+    docs, counts, vocabulary, flat = small_model(spark)
+    assert vocabulary.words == 6 and len(vocabulary.suffixes) == 4 and vocabulary.inner == 3 and len(vocabulary.known) in range(10, 15)
+    read = lm_scoring.Reader(vocabulary)(*words_module.joined(["the cat sat near unheard ones"]))
+    total = np.zeros(len(read.places))
+    for output in range(vocabulary.outputs):
+        k = output - vocabulary.words
+        for slot in [-1] if k < 0 else range(vocabulary.slot_starts[k], vocabulary.slot_starts[k + 1]):
+            read.outputs[:], read.slots[:] = output, slot
+            total += 10 ** sum(lm_scoring.log_probabilities(read, flat, vocabulary))
+    assert np.allclose(total, 1.0, atol=1e-5)
+    # In the rest of a class, the words seen and one unseen word share the whole.
     words = {r.word.encode(): r.c for r in counts.collect()}
-    for output in range(6, vocabulary.size):
-        own = [c for w, c in words.items() if (vocabulary.outputs[vocabulary.known[w]] if w in vocabulary.known else vocabulary.class_of(w)) == output]
-        assert math.isclose(sum(c + 0.1 for c in own) + 0.1, 10 ** vocabulary.class_norm[output], rel_tol=1e-9)
-    scored = {r.doc_id: r for r in lm_scoring.score(docs, counts, vocabulary, flat).collect()}
+    assert words == Counter(t for r in docs.filter("doc_id < 100 OR doc_id IS NULL").collect() for t in [*(r.text or "").encode().lower().split(), b" "])
+    inner = set(vocabulary.known[: 6 + 3])
+    for k in range(len(vocabulary.suffixes) + 1):
+        own = [c for w, c in words.items() if w not in inner and slow_class(w, vocabulary) == k]
+        assert math.isclose(sum(c + 0.1 for c in own) + 0.1, 10 ** vocabulary.rest_norm[k], rel_tol=1e-9)
+
+
+def slow_class(word, vocabulary):
+    ending = word.decode()[-2:].encode()
+    return vocabulary.suffixes.index(ending) if ending in vocabulary.suffixes else len(vocabulary.suffixes)
+
+
+def slow_score(text, vocabulary, flat, words):
+    """log10 of a text's probability by the docstring, word by word."""
+    contexts, outputs, slots, weights = (x.astype(np.float64) for x in lm_scoring.unpack(flat, vocabulary))
+    n, inner, total = vocabulary.words, vocabulary.known[vocabulary.words : vocabulary.words + vocabulary.inner], 0.0
+    symbols, groups = [0] * 3, {}
+    for w in inner:
+        groups.setdefault(slow_class(w, vocabulary), []).append(w)
+    for word in [*(text or "").encode().lower().split(), b" "]:
+        guess = np.append(sum(weights[k] * contexts[symbols[-1 - k]] for k in range(3)), 1.0)
+        logits = outputs @ guess
+        k = slow_class(word, vocabulary)
+        own = vocabulary.known.index(word) if word in vocabulary.known[:n] else n + k
+        total += logits[own] - np.log(np.exp(logits).sum())
+        symbols.append(own if own < n else vocabulary.known.index(word) if word in inner else n + vocabulary.inner + k)
+        if own >= n:
+            members = groups.get(k, [])
+            first = vocabulary.slot_starts[k]
+            logits = slots[first : first + len(members) + 1] @ guess
+            place = members.index(word) + 1 if word in members else 0
+            total += logits[place] - np.log(np.exp(logits).sum())
+            if place == 0:
+                total += np.log(words.get(word, 0) + 0.1) - np.log(10) * vocabulary.rest_norm[k]
+    return total / np.log(10)
+
+
+def test_scores_equal_a_slow_computation(spark):
+    docs, counts, vocabulary, flat = small_model(spark)
+    words = {r.word.encode(): r.c for r in counts.collect()}
+    got = lm_scoring.score(docs, counts, vocabulary, flat).collect()
+    rows = docs.collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r.doc_id) for r in rows)  # repeated rows and null ids too
+    scored = {r.doc_id: r for r in got}
+    for r in rows:
+        if r.doc_id != 102:
+            assert math.isclose(scored[r.doc_id].score, slow_score(r.text, vocabulary, flat, words), rel_tol=1e-4), r.doc_id
+    assert scored[102].n_tokens == 60_001 and scored[102].score < scored[100].score  # a very long text is scored whole
     assert scored[100].n_tokens == 1 == scored[None].n_tokens and math.isclose(scored[100].score, scored[None].score)
 
 
+def test_lm_words_and_places():
+    draw = np.random.default_rng(2)
+    alphabet = list("aBé \t\n\x0b日x") + ["\u00a0", "word", "  "]
+    texts = ["".join(draw.choice(alphabet, draw.integers(0, 30))) for _ in range(300)] + ["", "ends", "Starts"]
+    data, bounds = words_module.joined(texts)
+    data = words_module.lowered(data)
+    starts, lengths = words_module.word_places(data, bounds)
+    got = [[data[a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True) if bounds[k] <= a < bounds[k + 1]] for k in range(len(texts))]
+    assert got == [t.encode().lower().split() for t in texts]
+    short = lengths <= words_module.SHORT
+    flat, sizes = words_module.short_bytes(*words_module.short_keys(data, starts[short], lengths[short]))
+    assert flat.tobytes() == b"".join(w for t in got for w in t if len(w) <= words_module.SHORT) and sizes.tolist() == lengths[short].tolist()
+
+
 def test_lm_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "one two two"), (2, "")], "doc_id long, text string")
     counts = lm_scoring.stored(lm_scoring.count_words(docs.limit(0)), "t")
