@@ -252,7 +252,8 @@ def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, bloc
         signed = fps.view(np.int64)
         return pa.table({"a": signed[kept[:, 0]], "b": signed[kept[:, 1]]})
 
-    return found.unionAll(pairs.groupBy("subset", "key", "i", "j").applyInArrow(compare, "a long, b long"))
+    # Kept, so that no task runs two Python workers at once.
+    return found.unionAll(checkpoint(pairs.groupBy("subset", "key", "i", "j").applyInArrow(compare, "a long, b long"), files))
 
 
 # --- components -----------------------------------------------------------------------------------------------------
