@@ -16,9 +16,9 @@ from pyspark.sql.window import Window
 
 #: Java regex for a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of an Arrow batch on its way to Python.
-ARROW_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch on its way to Python, and rows of a batch that is read from Parquet.
+ARROW_BYTES, PARQUET_ROWS = 4 << 20, 512
+_BATCH_SETTING, _READ_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -63,6 +63,11 @@ def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
 
 
+def narrow_files(df: DataFrame) -> int:
+    """In how many files to keep a table of ids, hashes and numbers about the rows of a table of texts."""
+    return -(-splits_of(df) // 8)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """The rows as one column `row`, beside which a helper's columns can have any name; `row.*` gives them back."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
@@ -109,11 +114,14 @@ def publish(uri: str, name: str, write) -> int:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch of this session exceed ARROW_BYTES but by its last row: a default batch of whole texts takes tens of
-    megabytes twice over, in the JVM and in Python. A session that asks for less keeps its own bound."""
+    """Let no Arrow batch of this session exceed ARROW_BYTES but by its last row, and no batch read from Parquet PARQUET_ROWS:
+    default batches of whole texts take tens of megabytes several times over, in the JVM and in Python. A session that
+    asks for less keeps its own bounds."""
     asked = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH_SETTING))
     if asked is None or int(asked[1]) > ARROW_BYTES:
         spark.conf.set(_BATCH_SETTING, f"{ARROW_BYTES}b")
+    if int(spark.conf.get(_READ_SETTING)) > PARQUET_ROWS:
+        spark.conf.set(_READ_SETTING, PARQUET_ROWS)
 
 
 def worker_cache(name: str) -> dict:

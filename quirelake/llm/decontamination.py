@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpoint, let, packed, splits_of
+from .common import bound_batches, bounded_broadcast, checkpoint, let, narrow_files, packed
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -71,8 +71,9 @@ def candidates(docs: DataFrame, sketch: DataFrame, *, id_col: str = "doc_id", te
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, item, containment) of every pair at or above the threshold."""
+    bound_batches(docs.sparkSession)
     sketch = checkpoint(sketches(items, id_col=item_col, text_col=text_col, threshold=threshold))
-    found = checkpoint(candidates(docs, sketch, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows), splits_of(docs))
+    found = checkpoint(candidates(docs, sketch, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows), narrow_files(docs))
     parts = items.select(F.col(item_col).alias("item_"), F.array_distinct(shingles(F.col(text_col))).alias("item_shingles")).filter(F.size("item_shingles") > 0)
     pairs = found.join(parts, F.col("item").eqNullSafe(F.col("item_"))).select("doc", "item", "item_shingles")
     pairs = bounded_broadcast(pairs, found.count(), broadcast_rows // 50)  # with the shingles a row is some 50 times wider
@@ -86,6 +87,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", i
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no item; all columns stay."""
     found = contaminated(docs, items, id_col=id_col)
-    bad = checkpoint(found.select(F.col(id_col).alias("_bad_id")).distinct(), splits_of(docs))
+    bad = checkpoint(found.select(F.col(id_col).alias("_bad_id")).distinct(), narrow_files(docs))
     clean = packed(docs).join(bounded_broadcast(bad, bad.count(), BROADCAST_ROWS), F.col("row")[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
     return clean.select("row.*")

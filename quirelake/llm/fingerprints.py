@@ -11,10 +11,11 @@ The gamma draws come from a table of 16,384 draws over a low-discrepancy grid, o
 picks two (for r and for c): a logarithm a draw would be most of the cost. Only DataFrame functions are used. A row
 counts its own terms, and minima are taken before the shuffle, so what is shuffled is a signature a text.
 
-Defined results: a null or wordless text has no terms and the fingerprint of all ones; two such are wholly alike;
-rows of equal id and text are one document and give one row, rows of equal id and other text are documents of
-their own, ordered by a hash of the text; null ids come first; an empty table gives no rows; the only document of a
-table is its own follower; further columns are ignored.
+Defined results: a null or wordless text has no terms and the fingerprint of all ones; two such are wholly alike; very
+long texts count all their words; rows of equal id and text are copies of one document and each get its row, rows of equal
+id and other text are documents of their own, ordered by a hash of the text; null ids come first, and an empty id is
+another than a null one; an empty table gives no rows; the only document of a table is its own follower; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import let, next_ids, stored
 
-SAMPLES = 32
+SAMPLES = 64
 _TABLE_BITS = 14
 _LOW32 = 0xFFFFFFFF
 
@@ -65,7 +66,7 @@ def weighted_terms(text: Column) -> Column:
 
 def _sample(i: int) -> Column:
     """The packed minimum of sample i: ln a in the high 32 bits (in order), 32 bits of the hash of (term, t) in the low."""
-    h = F.xxhash64(F.lit(i), F.col("term"))
+    h = F.xxhash64(F.col("term").bitwiseXOR(F.lit((i + 1) * 0x0101010101010101 % (1 << 63))))
     mask = F.lit((1 << _TABLE_BITS) - 1)
     r = F.get(F.col("gammas"), h.bitwiseAND(mask).cast("int"))
     log_c = F.get(F.col("log_gammas"), F.shiftrightunsigned(h, 16).bitwiseAND(mask).cast("int"))
@@ -74,7 +75,7 @@ def _sample(i: int) -> Column:
     log_a = log_c - r * (t.cast("double") - b + 1.0)
     # ln a lies well within (-512, 512), so this fits 31 bits and the sign bit stays clear.
     ordered = F.shiftleft(((log_a + 512.0) * 2097152.0).cast("long"), 32)
-    return F.min(F.when(F.col("term").isNotNull(), ordered.bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(_LOW32)))))
+    return F.min(F.when(F.col("term").isNotNull(), ordered.bitwiseOR(F.shiftrightunsigned(h, 8).bitwiseXOR(F.shiftleft(t, 9)).bitwiseAND(F.lit(_LOW32)))))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -95,29 +96,31 @@ def as_hex(signature: Column) -> Column:
 
 
 def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, next_key, n, text, edited) of every document and its follower in ascending order of the id.
+    """(key, next_key, n, rows, text, edited) of every document and its follower in ascending order of the id.
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many of the next document's first, or
     all it has. Only ids and lengths are ordered; of a next document only the part in question moves.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    chained = next_ids(base.select("id", "digest", F.char_length("text").alias("n")).distinct(), "id", ["digest", "n"])
+    documents = base.select("id", "digest", F.char_length("text").alias("n")).groupBy("id", "digest", "n").agg(F.count("*").alias("rows"))
+    chained = next_ids(documents, "id", ["digest", "n", "rows"])
 
     # One string names a document: a struct's fields would differ in nullability on both sides of a join, and the
     # casts that follow keep Spark from using the shuffled texts twice.
     def key(prefix: str = "") -> Column:
-        return F.concat(F.coalesce(F.col(f"{prefix}id").cast("string"), F.lit("")), F.lit(":"), F.col(f"{prefix}digest").cast("string"))
+        own = F.coalesce(F.concat(F.lit("="), F.col(f"{prefix}id").cast("string")), F.lit(""))  # a null id has no mark
+        return F.concat(own, F.lit(":"), F.col(f"{prefix}digest").cast("string"))
 
-    links = chained.select(key().alias("key"), key("next_").alias("next_key"), "n")
+    links = chained.select(key().alias("key"), key("next_").alias("next_key"), "n", "rows")
     keyed = base.select(key().alias("key"), "text")
     if not base.groupBy("id", "digest").count().filter("count > 1").isEmpty():
         keyed = keyed.dropDuplicates(["key"])
     half = F.floor(F.col("n") / 2).cast("int")
-    parts = keyed.join(links.select(F.col("key").alias("before"), F.col("next_key").alias("key"), "n"), "key")
-    parts = parts.select(F.col("before").alias("key"), F.col("key").alias("next_key"), F.substring(F.col("text"), F.lit(1), half).alias("part"), "n")
+    parts = keyed.join(links.select(F.col("key").alias("before"), F.col("next_key").alias("key"), "n", "rows"), "key")
+    parts = parts.select(F.col("before").alias("key"), F.col("key").alias("next_key"), F.substring(F.col("text"), F.lit(1), half).alias("part"), "n", "rows")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.col("part"))
-    return keyed.join(parts, "key").select("key", "next_key", "n", "text", edited.alias("edited"))
+    return keyed.join(parts, "key").select("key", "next_key", "n", "rows", "text", edited.alias("edited"))
 
 
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -125,16 +128,18 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     pairs = edited_pairs(docs, id_col=id_col, text_col=text_col)
     own = F.struct(F.lit(0).alias("which"), F.col("text").alias("text"))
     other = F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))
-    facts = pairs.select("key", "next_key", F.col("n").cast("long").alias("n"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(F.array(own, other)).alias("v"))
-    names = ["key", "next_key", "n", "sha"]
+    facts = pairs.select("key", "next_key", "rows", F.col("n").cast("long").alias("n"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(F.array(own, other)).alias("v"))
+    names = ["key", "next_key", "rows", "n", "sha"]
     signed = signatures(facts.select(*names, "v.which", "v.text"), [*names, "which"], samples)
     both = signed.groupBy(*names).agg(*[F.max(F.when(F.col("which") == k, F.col("signature"))).alias(c) for k, c in ((0, "own"), (1, "edited"))])
     both = stored(both, "signatures")  # read twice below; the draws are made once
     follower = both.select(F.col("key").alias("f_key"), F.col("own").alias("following"))
     joined = both.join(follower, F.col("next_key") == F.col("f_key"))
     digest_chars = F.char_length(F.substring_index("key", ":", -1))
-    doc_id = F.nullif(F.substring(F.col("key"), F.lit(1), F.char_length("key") - digest_chars - 1), F.lit("")).cast(docs.schema[id_col].dataType)
-    return joined.select(
+    own = F.substring(F.col("key"), F.lit(1), F.char_length("key") - digest_chars - 1)
+    doc_id = F.when(own != "", F.substring(own, F.lit(2), F.char_length(own))).cast(docs.schema[id_col].dataType)
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return copies.select(
         doc_id.alias(id_col), F.col("n").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
         as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited"), samples).alias("near_edited"), likeness(F.col("own"), F.col("following"), samples).alias("near_next"),

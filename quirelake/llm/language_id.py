@@ -1,15 +1,16 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
-Learning gathers a raw-content zstandard dictionary for each language from a bounded sample: of every language at
-most about ``pieces`` rows, chosen by a hash of the id at a rate that follows from the language's row count, and from
-each a piece of ``piece_chars`` characters at a hashed place; equal pieces are taken once. Dictionaries and texts are
-lower-cased, and everything but letters becomes single spaces. A text is cut into blocks of ``block_bytes``, so that a
-long text doesn't become its own dictionary, every block is compressed with every dictionary, and the language with
-the smallest sum wins. A text is rejected when the runner-up is within ``margin`` (share of its bytes) of the winner.
+Learning gathers a raw-content zstandard dictionary for each language from a bounded sample of its rows: whole texts in
+the order of a hash of id and text, until ``dictionary_bytes`` are full, each text at most an eighth of that (if a language
+has no text so short, its shortest), equal texts once. Every language with training rows is learned; many languages share
+``all_bytes``, so their dictionaries get smaller. Dictionaries and texts are lower-cased, and everything but letters becomes
+single spaces. A text is cut into blocks of ``block_bytes``, so that a long text doesn't become its own dictionary, every
+block is compressed with every dictionary, and the language with the smallest sum wins. A text is rejected when the
+runner-up is within ``margin`` (share of its bytes) of the winner.
 
 Defined results: a null text or one without a letter gets `und`, score 0 and is rejected; without any learned language
-every text does; ties go to the language with more training rows; repeated rows each get a row; ids may be null;
-an empty table gives no rows; columns beyond the id and the text are ignored.
+every text does; ties go to the language with more training rows; very long texts are read whole; repeated rows each get
+a row; ids may be null; an empty table gives no rows; columns beyond the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -37,24 +38,33 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     return docs.filter((id_crc(F.col(id_col)) % 3 != 1) & F.col(lang_col).isNotNull())
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = 600, piece_chars: int = 512, dictionary_bytes: int = 300_000, max_languages: int = 500) -> dict[str, bytes]:
-    """Language to dictionary, the most frequent language first. The rarer of more than max_languages aren't learned."""
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 300_000, all_bytes: int = 1 << 25, rows_per_language: int = 1000) -> dict[str, bytes]:
+    """Language to dictionary, the most frequent language first. Of a language at most about ``rows_per_language`` sizes and
+    ``dictionary_bytes`` of texts reach the driver."""
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    size, draw = F.octet_length(text_col), F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col))
+    facts = [F.count("*").alias("n"), F.min(F.struct(size.alias("size"), draw.alias("h"))).alias("shortest")]
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(*facts).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return {}
-    draw = F.xxhash64(F.lit(29), F.col(id_col))
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, pieces / r["n"]))])
+    room = min(dictionary_bytes, max(1024, all_bytes // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_per_language / r["n"])) for r in counts], "r_lang string, rate double")
     unit = F.shiftrightunsigned(draw, 11).cast("double") / float(1 << 53)
-    picked = rows.filter(unit < F.coalesce(F.try_element_at(rates, F.col(lang_col)), F.lit(0.0)))
-    room = F.greatest(F.char_length(text_col) - piece_chars + 1, F.lit(1))
-    start = (F.pmod(F.shiftrightunsigned(draw, 7), room) + 1).cast("int")
-    found = picked.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(piece_chars)).alias("piece"), draw.alias("h")).distinct().orderBy("lang", "h", "piece").collect()
+    drawn = rows.select(F.col(lang_col).alias("lang"), draw.alias("h"), size.alias("size"), unit.alias("unit")).filter(F.col("size") <= room // 8)
+    drawn = drawn.join(F.broadcast(rates), F.col("lang") == F.col("r_lang")).filter("unit < rate")  # a row a language
+    held: dict[str, int] = {}
+    chosen: set[int] = set()
+    for row in sorted(drawn.select("lang", "h", "size").distinct().collect()):
+        if held.get(row["lang"], 0) < room:
+            held[row["lang"]] = held.get(row["lang"], 0) + row["size"]
+            chosen.add(row["h"])
+    chosen |= {r["shortest"]["h"] for r in counts if r["lang"] not in held}
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in chosen], "c long")
+    found = rows.join(F.broadcast(wanted), draw == F.col("c")).select(F.col(lang_col).alias("lang"), F.col("c").alias("h"), F.col(text_col).alias("text")).distinct()
     parts: dict[str, dict[str, None]] = {}
-    for row in found:
-        parts.setdefault(row["lang"], {})[row["piece"]] = None
-    order = [r["lang"] for r in counts if r["lang"] in parts]
-    return {lang: "".join(normalise(p) for p in parts[lang]).encode("utf-8", "surrogatepass")[-dictionary_bytes:] for lang in order}
+    for row in sorted(found.collect()):
+        parts.setdefault(row["lang"], {})[row["text"]] = None
+    return {r["lang"]: "".join(normalise(t) for t in parts[r["lang"]]).encode("utf-8", "surrogatepass") for r in counts if r["lang"] in parts}
 
 
 class Classifier:

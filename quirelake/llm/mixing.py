@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, bounded_broadcast, checkpoint, packed, splits_of
+from .common import WORD, bound_batches, bounded_broadcast, checkpoint, narrow_files, packed, splits_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -82,6 +82,7 @@ def mix(
     copies: how often the mix holds the document; taken = copies * size. digest tells rows of one id apart.
     quality: (id, quality) with positive numbers; documents without one weigh 1.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     weight = F.lit(1.0)
     if quality is not None:
@@ -91,7 +92,7 @@ def mix(
     key = es_key(F.col("id"), F.col("digest"), weight, seed)
     # 1 - exp(-key) is a monotone image of the key in (0, 1) that spreads the documents evenly.
     place = F.least(((1 - F.exp(-key)) * float(1 << PLACE_BITS)).cast("long"), F.lit((1 << PLACE_BITS) - 1))
-    files = splits_of(docs)
+    files = narrow_files(docs)
     slim = checkpoint(slim.select("id", "digest", "source", "size", key.alias("key"), place.alias("place"), F.monotonically_increasing_id().alias("row")), files)
 
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs)

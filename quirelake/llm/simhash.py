@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, packed, splits_of
+from .common import bound_batches, checkpoint, narrow_files, packed, splits_of
 
 BYTES = 8
 #: Three groups of positions: a triple is posted if it lies within a group or has two in one and one in the next.
@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     files = splits_of(docs)
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits, files=files), files=files), id_col).coalesce(files)
+    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits, files=files), files=narrow_files(docs)), id_col).coalesce(files)
 
 
 def named_components(marked: DataFrame, classes: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
@@ -349,7 +349,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are named by id and text. Of rows equal in both one stays; rows without an id stay if their component has none.
     """
-    found = checkpoint(find(docs, id_col=id_col, text_col=text_col))
+    found = checkpoint(find(docs, id_col=id_col, text_col=text_col), narrow_files(docs))
     first = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("k_id"), F.col("digest").alias("k_digest")).agg(F.count("*").alias("k_n"))
     keyed = packed(docs).withColumn("text", F.xxhash64(F.col("row")[text_col])).withColumn("id", F.col("row")[id_col])
     joined = keyed.join(first.select("k_id", "k_digest"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("text") == F.col("k_digest")), "left_semi")

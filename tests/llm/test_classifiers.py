@@ -39,6 +39,66 @@ def test_language_defined_results(spark):
     assert language_id.learn(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
 
 
+def test_every_language_is_learned(spark):
+    """501 languages of three texts each, one of them with a single long text."""
+    draw = np.random.default_rng(9)
+    words = [["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(501)]
+    rows = [(3 * k + j, " ".join(draw.choice(own, 30)), f"l{k:03d}") for k, own in enumerate(words) for j in range(3)] + [(None, "zz yy xx " * 60_000, "long"), (None, "zz yy xx " * 60_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = language_id.learn(docs)
+    assert len(dictionaries) == 502 and set(dictionaries) == {r[2] for r in rows}
+    assert language_id.normalise(rows[0][1]).encode() in dictionaries["l000"] and len(dictionaries["long"]) >= 540_000
+    classify = language_id.Classifier({k: v for k, v in dictionaries.items() if k > "l450"})
+    for k in (451, 500):
+        assert classify(" ".join(draw.choice(words[k], 40)))[0] == f"l{k:03d}"
+
+
+def test_languages_equal_a_slow_computation(spark):
+    """The predictions of all rows from the learned dictionaries, block by block with compressors of their own."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dictionaries = language_id.learn(language_id.training_rows(docs))
+    got = {r.doc_id: r for r in language_id.identify(docs, dictionaries).collect()}
+    for r in docs.collect():
+        text = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        data = f" {' '.join(text.split())} ".encode()
+        if not text.strip():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = {}
+        for lang, content in dictionaries.items():
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=6)
+            pack = zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(pack.compress(data[at : at + 1024])) for at in range(0, len(data), 1024))
+        best = min(sizes, key=lambda k: sizes[k])
+        rest = min(v for k, v in sizes.items() if k != best)
+        assert got[r.doc_id].lang_pred == best and math.isclose(got[r.doc_id].margin, (rest - sizes[best]) / rest)
+        assert math.isclose(got[r.doc_id].score, 1 / sum(2.0 ** -min(v - sizes[best], 1000) for v in sizes.values()))
+
+
+def test_toxicity_scores_equal_a_slow_computation(spark):
+    """A model's scores of all rows, n-gram by n-gram."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, toxicity.training_labels(labels))
+
+    def bucket(gram):
+        rolling = 0
+        for c in gram:
+            rolling = (rolling * 0x01000193 + ord(c)) & 0xFFFFFFFF
+        return ((rolling ^ rolling >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        padded = f" {(r.text or '').lower()} "
+        buckets = {bucket(padded[i : i + n]) for n in toxicity.ORDERS for i in range(len(padded) - n + 1)}
+        total = model.bias + sum(float(model.weights[b]) for b in buckets)
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-total)), rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -101,7 +101,7 @@ def test_likeness_is_unbiased(spark):
 def test_fingerprint_defined_results(spark):
     rows = [(1, "Alpha beta\tgamma", 1), (2, None, 2), (3, "", 3), (None, "lone", 4), (1, "alpha beta gamma", 5), (1, "alpha beta gamma", 6)]
     got = fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
-    assert sorted((repr(r.doc_id), r.n_chars) for r in got) == [("1", 16), ("1", 16), ("2", 0), ("3", 0), ("None", 4)]
+    assert sorted((repr(r.doc_id), r.n_chars) for r in got) == [("1", 16), ("1", 16), ("1", 16), ("2", 0), ("3", 0), ("None", 4)]
     of_one = {r.fingerprint for r in got if r.doc_id == 1}
     assert len(of_one) == 1 and len({r.fingerprint for r in got if r.doc_id in (2, 3)}) == 1
     assert next(r for r in got if r.doc_id == 2).near_next == 1.0
@@ -111,6 +111,15 @@ def test_fingerprint_defined_results(spark):
     assert fingerprints.compare_edits(single.limit(0)).count() == 0
 
 
+def test_string_ids_tell_null_from_empty(spark):
+    rows = [("", "one two"), (None, "three four five"), ("a", "six"), ("a:b=", "seven"), ("=", "eight")]
+    got = fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(((r.doc_id, r.n_chars) for r in got), key=repr) == sorted(((i, len(t)) for i, t in rows), key=repr)
+    order = [r for _, r in sorted(((i is not None, i or ""), (i, t)) for i, t in rows)]
+    edited = {i: t[: len(t) - len(t) // 2] + after[: len(t) // 2] for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True)}
+    assert {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(e.encode()).hexdigest() for i, e in edited.items()}
+
+
 def test_long_text(spark):
     text = " ".join(f"w{i}" for i in range(30_000))
     got = fingerprints.compare_edits(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
