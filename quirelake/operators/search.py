@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -19,62 +20,168 @@ def query_words(query: str) -> list[str]:
     return re.sub(r"[^\w\s\-]", " ", query.lower()).split()
 
 
-def bm25(docs: DataFrame, query: str, *, key: str = "page_id", text: str = "text", scope: list[str] | None = None, stem: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """(key, scope columns, score) of the texts that hold a query word; texts without words count for nothing.
-
-    Only the length and the query words' counts of a text are kept, so nothing is shuffled but one row of sums a
-    partition. scope: columns whose values have statistics of their own (else the whole table's). stem: compare
-    Porter stems; the vocabulary is stemmed, not the tokens.
-    """
+def bm25(docs: DataFrame, query: str, *, key: str = "page_id", text: str = "text", scope: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(key, scope columns, score) of the texts that hold a query word; texts without words count for nothing, rows of one
+    key count as one text. scope: columns whose values have statistics of their own (else the whole table's)."""
     wanted, scope = Counter(query_words(query)), scope or []
     if not wanted:
         return docs.select(key, *scope, F.lit(0.0).alias("score")).limit(0)
-    named = docs.select(key, *scope, tx.word_tokens(F.col(text)).alias("tokens")).filter(F.size("tokens") > 0)
-    if stem:
-        stems = Counter(tx.porter_stem(w) for w in wanted.elements())
-        forms = _forms(named, list(stems))
-        counted = named.select(key, *scope, F.size("tokens").alias("dl"), F.col("tokens"))
-        tf = [F.size(F.filter("tokens", _is_one_of(forms.get(s, [""])))) for s in stems]
-        wanted = stems
-    else:
-        counted = named.select(key, *scope, F.size("tokens").alias("dl"), "tokens")
-        tf = [F.size("tokens") - F.size(F.array_remove("tokens", F.lit(w))) for w in wanted]
-    counted = counted.select(key, *scope, "dl", *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
-    sums = [F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]]
+
+    def facts(tokens: Column) -> Column:
+        counts = [(F.size(tokens) - F.size(F.array_remove(tokens, F.lit(w)))).cast("long").alias(f"tf{i}") for i, w in enumerate(wanted)]
+        return F.struct(F.size(tokens).cast("long").alias("dl"), *counts)
+
+    # A generator, below which no filter can be pushed: so a text is cut into words once.
+    words = F.filter(F.array(tx.word_tokens(F.col(text))), lambda t: F.size(t) > 0)
+    counted = docs.select(key, *scope, F.inline(F.transform(words, facts)))
+    return _scored(counted, list(wanted.values()), key, scope, k1, b, lambda n, df: F.log((n - df + 0.5) / (df + 0.5) + 1)).drop("tfs")
+
+
+def _scored(counted: DataFrame, repeats: list[int], key: str, scope: list[str], k1: float, b: float, idf) -> DataFrame:
+    """(key, scope, score, tfs) from counted(key, scope, dl, tf0, tf1, ...).
+
+    Texts without a hit are summed up before the shuffle, by task; hits and these sums make the statistics, and the
+    hits are scored by them, from one exchange that both sides read.
+    """
+    tfs = [f"tf{i}" for i in range(len(repeats))]
+    hit = F.lit(False)
+    for c in tfs:
+        hit = hit | (F.col(c) > 0)
+    named = counted.withColumn("hit", hit).withColumn("h_key", F.when(F.col("hit"), F.col(key)))
+    sums = [F.sum("dl").alias("dl"), F.count("*").alias("n"), F.max("hit").alias("is_hit"), *[F.sum(c).alias(c) for c in tfs]]
+    small = named.groupBy(*scope, "hit", "h_key").agg(*sums)
+    facts = [F.sum(F.when(F.col("is_hit"), 1).otherwise(F.col("n"))).alias("texts"), F.sum("dl").alias("all_dl"), *[F.count_if(F.col(c) > 0).alias(f"df{i}") for i, c in enumerate(tfs)]]
     if scope:
-        stats = counted.groupBy(*[F.col(c).alias(f"s_{c}") for c in scope]).agg(*sums)
-        joined = counted.join(stats, [F.col(c) == F.col(f"s_{c}") for c in scope])
+        stats = small.groupBy(*[F.col(c).alias(f"s_{c}") for c in scope]).agg(*facts)
+        joined = small.join(stats, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in scope])
     else:
-        joined = counted.join(F.broadcast(counted.agg(*sums)), how="cross")  # one row
-    score = F.lit(0.0)
-    for i, repeats in enumerate(wanted.values()):
-        tf_i, df_i = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df_i + 0.5) / (df_i + 0.5) + 1)
-        score = score + repeats * idf * tf_i * (k1 + 1) / (tf_i + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.select(key, *scope, score.alias("score")).filter("score > 0")
+        joined = small.join(F.broadcast(small.agg(*facts)), how="cross")  # one row
+    joined = joined.filter(F.col("is_hit") & (F.col("n") > 0))
+    score, avgdl = F.lit(0.0), F.col("all_dl") / F.col("texts")
+    for i, times in enumerate(repeats):
+        tf = F.col(f"tf{i}")
+        score = score + times * idf(F.col("texts"), F.col(f"df{i}")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return joined.select(F.col("h_key").alias(key), *scope, score.alias("score"), F.array(*tfs).alias("tfs")).filter("score > 0")
+
+
+def _folded() -> tuple[str, str]:
+    """Latin letters with marks, and what they are without."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
 
+_MARKED, _PLAIN = _folded()
 
-def _is_one_of(words: list[str]):
-    return lambda token: token.isin(words)
 
+def text_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, Latin letters without their marks: the words of the full-text index."""
+    plain = F.translate(F.lower(F.translate(text, _MARKED, _PLAIN)), _MARKED, _PLAIN)
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
-def _forms(named: DataFrame, stems: list[str]) -> dict[str, list[str]]:
-    """The vocabulary's words of some stems. Words that share no start with a stem are passed over before stemming."""
-    starts = {s[: max(1, len(s) - 1)] for s in stems}
-    words = named.select(F.explode("tokens").alias("w")).filter(F.array_contains(F.array(*[F.startswith("w", F.lit(x)) for x in starts]), True)).distinct()
-    stem = tx.porter_stem
+
+def query_phrases(query: str) -> list[list[str]]:
+    """The query's words, each a phrase of stems: words that punctuation divides must stand side by side."""
+    cleaned = [re.sub(tx.RESERVED, "", w) for w in query.split()]
+    tokens = [re.findall(r"[^\W_]+", w.translate(str.maketrans(_MARKED, _PLAIN)).lower()) for w in cleaned]
+    return [[tx.porter_stem(t) for t in phrase] for phrase in tokens if phrase]
+
+
+def full_text(docs: DataFrame, query: str, *, key: str = "page_id", text: str = "text", file: str | None = None, only: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, file, score) of the texts that hold every word of the query, by Porter stems.
+
+    Statistics are those of the whole table; ``only`` keeps the hits of one file (a value of the column ``file``)
+    afterwards. A word that more than half of the texts hold weighs next to nothing, not less than nothing.
+    """
+    phrases, shown = query_phrases(query), [file] if file else []
+    if not phrases:
+        return docs.select(key, *shown, F.lit(0.0).alias("score")).limit(0)
+    starts = sorted({s[: max(1, len(s) - 1)] for p in phrases for s in p})
+    single, stem = all(len(p) == 1 for p in phrases), tx.porter_stem
+
+    def begins(t: Column) -> Column:
+        # A stem's words begin as the stem does, but for its last letter.
+        found = F.lit(False)
+        for s in starts:
+            found = found | F.startswith(t, F.lit(s))
+        return found
+
+    def facts(tokens: Column) -> Column:
+        sent = F.filter(tokens, begins) if single else F.when(F.exists(tokens, begins), tokens)
+        return F.struct(F.size(tokens).cast("long").alias("dl"), sent.alias("tokens"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        known: dict[str, str] = {}
+
+        def count(tokens: list[str] | None) -> list[int]:
+            if len(known) > 200_000:
+                known.clear()
+            stems = [known.get(t) or known.setdefault(t, stem(t)) for t in tokens or ()]
+            return [sum(stems[i : i + len(p)] == p for i in range(len(stems) - len(p) + 1)) for p in phrases]
+
+        for batch in batches:
+            found = [count(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(phrases))]], [*batch.schema.names[:2], *[f"tf{i}" for i in range(len(phrases))]])
+
+    named = docs.select(key, F.inline(F.transform(F.array(text_tokens(F.coalesce(F.col(text), F.lit("")))), facts)))
+    counted = named.mapInArrow(run, f"`{key}` {named.schema[key].dataType.simpleString()}, dl long" + "".join(f", tf{i} long" for i in range(len(phrases))))
+    scored = _scored(counted, [1] * len(phrases), key, [], k1, b, lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6)))
+    whole = scored.filter(F.forall("tfs", lambda t: t > 0)).drop("tfs")
+    if not file:
+        return whole
+    files = docs.select(F.col(key).alias("f_key"), file)
+    files = files if only is None else files.filter(F.col(file) == only)
+    return whole.join(files, F.col(key) == F.col("f_key")).select(key, file, "score")
+
+
+def snippets(hits: DataFrame, query: str, *, text: str = "text", context_chars: int = 200) -> DataFrame:
+    """hits with `snippet`: the window of context_chars // 5 words (4 to 64) with the most of the query's words, best at the
+    start of the text or a sentence. hits: a short list of texts that hold every word of the query."""
+    phrases, width, stem = query_phrases(query), max(4, min(64, context_chars // 5)), tx.porter_stem
+    at = hits.columns.index(text)
+    folding = str.maketrans(_MARKED, _PLAIN)
+
+    def cut(body: str) -> str:
+        places = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", body)]
+        stems = [stem(body[i:j].translate(folding).lower()) for i, j in places]
+        found = sorted((i, k) for k, p in enumerate(phrases) for i in range(len(stems) - len(p) + 1) if stems[i : i + len(p)] == p)
+        sentences = [k for k, (i, _) in enumerate(places) if k == 0 or re.search(r"[.:][ \t\r\n]+$", body[:i])]
+
+        def value(start: int) -> tuple[int, int]:
+            """(score, the start that centres what the window holds)."""
+            inside = [(i, k) for i, k in found if start <= i < start + width]
+            score = sum(1000 if k not in {other for _, other in inside[:n]} else 1 for n, (_, k) in enumerate(inside))
+            last = inside[-1][0] + len(phrases[inside[-1][1]])
+            centred = inside[0][0] - (width - (last - inside[0][0])) // 2
+            return score, max(0, min(centred, len(stems) - width))
+
+        best, start = 0, 0
+        for i, _ in found:
+            score, centred = value(i)
+            if score > best:
+                best, start = score, centred
+            earlier = [s for s in sentences if s <= i]
+            if earlier and earlier[-1] < i and len(stems) > width and found and any(earlier[-1] <= f < earlier[-1] + width for f, _ in found):
+                score = value(earlier[-1])[0] + (120 if earlier[-1] == 0 else 100)
+                if score > best:
+                    best, start = score, earlier[-1]
+        if not places:
+            return body
+        stop = start + width
+        head = "..." + body[places[start][0] :] if start > 0 else body
+        cut_off = len(head) - (len(body) - places[stop - 1][1]) if stop < len(places) else len(head)
+        return head[:cut_off] + ("..." if stop < len(places) else "")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [w for w in batch.column(0).to_pylist() if stem(w) in stems]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([stem(w) for w in found], pa.string())], ["w", "s"])
+            found = pa.array([None if t is None else cut(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "snippet"])
 
-    forms: dict[str, list[str]] = {}
-    for row in words.mapInArrow(run, "w string, s string").groupBy("s").agg(F.sort_array(F.collect_list("w")).alias("w")).collect():
-        forms[row["s"]] = row["w"]
-    return forms
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
+    return hits.mapInArrow(run, f"{schema}, snippet string")
 
 
 def top(hits: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:

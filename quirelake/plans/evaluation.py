@@ -95,9 +95,8 @@ def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {searches._ARMS}, {ad.PAGES_SQL} SELECT file_path, page_num // 10 AS section, min(rank) AS rank FROM kw JOIN pages ON page_id = page GROUP BY ALL")
 def page_to_section_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten pages make a section; a section has the rank of its best page."""
-    numbers = ad.page_numbers(table(spark, sf_dir, "documents"))
     ranked = se.ranked(searches._keyword(spark, sf_dir, 30), "doc_id").select(F.col("doc_id").alias("page"), F.col("rank").cast("long").alias("rank"))
-    placed = numbers.join(F.broadcast(ranked), F.col("page_id") == F.col("page"))
+    placed = ad.numbers_of(table(spark, sf_dir, "documents"), ranked, "page")
     return placed.groupBy("file_path", F.floor(F.col("page_num") / 10).alias("section")).agg(F.min("rank").alias("rank"))
 
 

@@ -36,9 +36,8 @@ def _keyword(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 @query(f"""WITH {ad.PAGES_SQL}, {_bm25_sql("documents", "doc_id")}
     SELECT file_path, page_num, round(score, 4) AS score FROM bm25 JOIN pages ON page_id = doc_id WHERE score > 0 ORDER BY round(bm25.score, 9) DESC, doc_id LIMIT 10""")
 def keyword_bm25_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _keyword(spark, sf_dir, 10)
-    numbers = ad.page_numbers(table(spark, sf_dir, "documents"))
-    return numbers.join(F.broadcast(hits), F.col("page_id") == F.col("doc_id")).select("file_path", "page_num", F.round("score", 4).alias("score"))
+    placed = ad.numbers_of(table(spark, sf_dir, "documents"), _keyword(spark, sf_dir, 10), "doc_id")
+    return placed.select("file_path", "page_num", F.round("score", 4).alias("score"))
 
 
 _DOT = f"list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {PROBE}))"
@@ -176,13 +175,36 @@ def query_escape_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ASKED.df(spark).select("id", tx.escape_query_cjk(F.col("q")).alias("match"))
 
 
+STEMMED = "Onth ande"
+
+
 @query()
 def porter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-text search on Porter stems; the stemmer has no SQL form."""
-    hits = op.top(op.bm25(table(spark, sf_dir, "documents"), "estions heating", key="doc_id", stem=True), 10, "doc_id")
+    """Full-text search on Porter stems: every word must occur; the stemmer has no SQL form, the tests hold it to SQLite's index."""
+    hits = op.top(op.full_text(table(spark, sf_dir, "documents"), STEMMED, key="doc_id"), 10, "doc_id")
     return hits.select(F.col("doc_id").alias("page_id"), F.round("score", 4).alias("score"))
 
 
+@query()
+def file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within one file: statistics of the whole table, the file's best pages with snippets."""
+    docs = table(spark, sf_dir, "documents")
+    hits = op.top(op.full_text(docs, STEMMED, key="doc_id", file="source", only="src3"), 5, "doc_id")
+    texts = docs.select(F.col("doc_id").alias("t_id"), "text").join(F.broadcast(hits), F.col("t_id") == F.col("doc_id")).select("doc_id", "source", "score", "text")
+    return op.snippets(texts, STEMMED, context_chars=100).select(F.col("doc_id").alias("page_id"), F.col("source").alias("file_path"), F.round("score", 4).alias("score"), "snippet")
+
+
+@query(f"""WITH {_bm25_sql("documents", "doc_id", ", source")}
+    SELECT source AS file_path, doc_id AS page_id, round(score, 4) AS score, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE bm25.score > 0 QUALIFY rank <= 3""")
+def keyword_topk_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best pages of every file, by the whole table's statistics."""
+    docs = table(spark, sf_dir, "documents")
+    hits = op.bm25(docs, QUERY, key="doc_id")
+    placed = docs.select(F.col("doc_id").alias("d"), F.col("source").alias("file_path")).join(hits, F.col("d") == F.col("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(F.round("score", 9).desc(), "doc_id"))
+    return placed.withColumn("rank", rank).filter("rank <= 3").select("file_path", F.col("doc_id").alias("page_id"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {ad.LINES_SQL}, s AS (SELECT *, contains(lower(line), 'estion')::INT + contains(lower(line), 'thintion')::INT AS sc FROM lines WHERE length(line) >= 1 AND regexp_matches(line, '\\S'))
     SELECT page_id, line_no AS block, sc::BIGINT AS score, CASE WHEN length(line) <= 2000 THEN line END AS paragraph FROM s WHERE sc > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sc DESC, line_no) = 1""")
 def best_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:

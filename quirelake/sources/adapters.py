@@ -6,11 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import kept
+
 
 def page_numbers(documents: DataFrame) -> DataFrame:
-    """(file_path, page_num, page_id): one document is one page of the file its source names. Carries no text."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return documents.select(F.col("source").alias("file_path"), (F.row_number().over(order) - 1).cast("long").alias("page_num"), F.col("doc_id").alias("page_id"))
+    """(file_path, page_num, page_id): one document is one page of the file its source names. Carries no text.
+
+    Ids are dealt by ranges of (file, id), so that a large file is numbered by many tasks: within a range by the rows
+    before, and from there by the file's rows in earlier ranges.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = documents.select(F.col("source").alias("file_path"), F.col("doc_id").alias("page_id"))
+    ranged = kept(ids.repartitionByRange(parts, "file_path", "page_id").withColumn("part", F.spark_partition_id()), "page-ids")
+    within = F.row_number().over(Window.partitionBy("part", "file_path").orderBy("page_id"))
+    counts = ranged.groupBy("part", "file_path").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("part").alias("o_part"), F.col("file_path").alias("o_file"), earlier.alias("offset"))  # a row a range and file
+    numbered = ranged.withColumn("n", within).join(offsets, (F.col("part") == F.col("o_part")) & F.col("file_path").eqNullSafe(F.col("o_file")))
+    return numbered.select("file_path", (F.col("n") + F.col("offset") - 1).cast("long").alias("page_num"), "page_id")
+
+
+def numbers_of(documents: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """hits with (file_path, page_num) of their pages, by counting the smaller ids of their files. hits: a short list."""
+    ids = documents.select(F.col("source").alias("file_path"), F.col("doc_id").alias("page_id"))
+    wanted = F.broadcast(hits.select(F.col(key).alias("w_id")))
+    spots = ids.join(wanted, F.col("page_id") == F.col("w_id")).select(F.col("file_path").alias("s_file"), F.col("w_id").alias("s_id"))
+    placed = ids.join(F.broadcast(spots), F.col("file_path").eqNullSafe(F.col("s_file")))
+    counted = placed.groupBy("s_file", "s_id").agg(F.count_if(F.col("page_id") < F.col("s_id")).alias("page_num"))
+    return counted.select(F.col("s_file").alias("file_path"), "page_num", F.col("s_id").alias("s_id")).join(F.broadcast(hits), F.col("s_id") == F.col(key)).drop("s_id")
 
 
 def pages(documents: DataFrame) -> DataFrame:
