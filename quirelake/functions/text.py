@@ -80,6 +80,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(from_each)).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """The same as hashes of 64 bits: for counting, without building a string an n-gram."""
+    from_each = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n)))
+    return F.when(F.size(tokens) >= n, F.array_distinct(from_each)).otherwise(F.array().cast("array<bigint>"))
+
+
 def cjk_split(text: Column) -> Column:
     """Spaces around every CJK character; idempotent."""
     return F.array_join(split_words(F.regexp_replace(text, f"({CJK_CLASS})", " $1 ")), " ")

@@ -44,22 +44,40 @@ def boundary_f1(gold: DataFrame, found: DataFrame, tolerance: int = 1) -> DataFr
     return rated.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def agent_walk(pages: DataFrame, starts: DataFrame, needed: Column, max_reads: int = 10, enough: float = 0.95) -> DataFrame:
-    """(file_path, reads, covered): pages read outwards from a hit, the next before the previous, until enough is covered.
+def walk_step(page: Column, start: Column, total: Column) -> Column:
+    """The place of a page (from 1) in a walk N, N+1, N-1, N+2, ... from its start, 0 for the start itself; pages outside
+    the document take no place."""
+    away = F.abs(page - start)
+    forward, back = away + F.least(away - 1, start - 1), away + F.least(away, total - start)
+    return F.when(page == start, F.lit(0)).when(page > start, forward).otherwise(back).cast("long")
 
-    needed: what a page adds to the coverage, in units of the whole.
+
+def agent_reads(pages: DataFrame, sections: DataFrame, *, max_reads: int = 10, enough: float = 0.95) -> DataFrame:
+    """(file_path, section, reads, covered): how many further pages are read from a hit until the pages hold enough of the
+    section's distinct words; max_reads if they never do.
+
+    pages: (file_path, page, words), words being an array; sections: (file_path, section, first, last, start, total).
+    A section's words come from its own pages, and each word is covered at the first step whose page has it: so one
+    aggregate a section and word, and one a section, settle every walk at once.
     """
-    walked = pages.join(starts, "file_path").withColumn("dist", F.abs(F.col("page_num") - F.col("start")))
-    order = Window.partitionBy("file_path").orderBy("dist", F.col("page_num").desc())
-    steps = walked.withColumn("n", F.row_number().over(order)).withColumn("gain", needed)
-    before = F.coalesce(F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    read = steps.withColumn("before", before).filter((F.col("n") <= max_reads + 1) & (F.col("before") < enough))
-    return read.groupBy("file_path").agg((F.count("*") - 1).alias("reads"), F.sum("gain").alias("covered"))
-
-
-def multiset_recall(found: DataFrame, gold: DataFrame, by: str) -> DataFrame:
-    """(by, recall): words of gold(by, word) also in found(by, word), with multiplicity."""
-    f = found.groupBy(F.col(by).alias("f_by"), F.col("word").alias("f_word")).agg(F.count("*").alias("f"))
-    g = gold.groupBy(by, "word").agg(F.count("*").alias("g"))
-    joined = g.join(f, (F.col(by) == F.col("f_by")) & (F.col("word") == F.col("f_word")), "left")
-    return joined.groupBy(by).agg((F.sum(F.least(F.coalesce("f", F.lit(0)), F.col("g"))) / F.sum("g")).alias("recall"))
+    p = pages.select(F.col("file_path").alias("p_file"), F.col("page").alias("p_page"), F.array_distinct("words").alias("p_words"))
+    near = F.sequence(F.greatest(F.lit(1), F.least("first", F.col("start") - max_reads)), F.least("total", F.greatest("last", F.col("start") + max_reads)))
+    reach = sections.withColumn("at", F.explode(near)).withColumn("step", walk_step(F.col("at"), F.col("start"), F.col("total")))
+    own = F.col("at").between(F.col("first"), F.col("last"))
+    read = reach.withColumn("own", own).filter(own | (F.col("step") <= max_reads)).join(p, F.col("file_path").eqNullSafe(F.col("p_file")) & (F.col("at") == F.col("p_page")))
+    words = read.select("file_path", "section", "own", F.when(F.col("step") <= max_reads, F.col("step")).alias("step"), F.explode("p_words").alias("word"))
+    first = words.groupBy("file_path", "section", "word").agg(F.bool_or("own").alias("own"), F.min("step").alias("step")).filter("own")
+    steps = first.groupBy("file_path", "section").agg(F.count("*").alias("n"), *[F.count_if(F.col("step") <= k).alias(f"by{k}") for k in range(max_reads + 1)])
+    shares = [F.col(f"by{k}") / F.col("n") for k in range(max_reads + 1)]
+    reads, covered = F.lit(max_reads), shares[max_reads]
+    for k in reversed(range(max_reads)):
+        reads, covered = F.when(shares[k] >= enough, k).otherwise(reads), F.when(shares[k] >= enough, shares[k]).otherwise(covered)
+    return steps.select("file_path", "section", reads.cast("long").alias("reads"), covered.alias("covered"))
+
+
+def multiset_recall(found: Column, gold: Column) -> Column:
+    """The share of an array's words, with repetition, that another array holds as often; 0 for no words. No row moves."""
+    def held(word: Column) -> Column:
+        return F.least(F.size(F.filter(found, lambda x: x == word)), F.size(F.filter(gold, lambda x: x == word)))
+
+    return ratio(F.aggregate(F.array_distinct(gold), F.lit(0), lambda s, word: s + held(word)), F.size(gold))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 #: English phrases that are counted in hidden text.
 PHRASES = ("ignore previous instructions", "ignore all previous instructions", "disregard the above", "disregard previous", "system prompt", "you are now", "new instructions", "do not tell the user")
+#: Why a span can't be seen.
 REASONS = ("invisible_render", "tiny_font", "transparent", "white_on_white", "offpage")
 
 
@@ -81,6 +82,12 @@ def writing_mode(glyphs: DataFrame) -> DataFrame:
     return votes.select("page_id", F.when(~F.col("cjk") | (F.col("v") < 30) | (share < 0.2), "horizontal").when(share >= 0.8, "vertical").otherwise("mixed").alias("mode"))
 
 
+def oriented(lines: DataFrame) -> DataFrame:
+    """Lines with their writing direction (dx, dy) as glyph rows: `vertical` where they run down rather than across; blank
+    ones are left out."""
+    return lines.filter(F.rlike("text", F.lit(r"\S"))).withColumn("vertical", F.abs("dy") > F.abs("dx")).drop("dx", "dy")
+
+
 def single_column(blocks: DataFrame) -> DataFrame:
     """(page_id, single): at least two text blocks, of which 60 % span 60 % of the text's width."""
     text = blocks.filter((F.col("kind") == 0) & F.rlike("text", F.lit(r"\S")))
@@ -105,6 +112,22 @@ def page_text(blocks: DataFrame, columns: DataFrame, boxes: DataFrame) -> DataFr
     return placed.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["t"]), "\n\n").alias("text"))
 
 
+def texts_by_mode(glyphs: DataFrame, pages: DataFrame, blocks: DataFrame, columns: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, mode, text): vertical and mixed pages by tiers and columns from right to left, all others by their blocks."""
+    modes = writing_mode(glyphs)
+    upright = modes.filter(F.col("mode") != "horizontal").select(F.col("page_id").alias("m_page"), "mode")
+    down = vertical_reorder(glyphs.join(upright, F.col("page_id") == F.col("m_page"), "left_semi"), pages)
+    down = down.join(upright, F.col("page_id") == F.col("m_page")).select("page_id", "mode", "text")
+    across = page_text(blocks.join(upright, F.col("page_id") == F.col("m_page"), "left_anti"), columns, boxes)
+    return down.unionByName(across.select("page_id", F.lit("horizontal").alias("mode"), "text"))
+
+
+def table_rows(cells: Column) -> Column:
+    """struct(header, rows) of an array of rows of cells: the first row is the header, a missing cell is empty."""
+    filled = F.transform(cells, lambda row: F.transform(row, lambda c: F.coalesce(c, F.lit(""))))
+    return F.struct(F.get(filled, F.lit(0)).alias("header"), F.slice(filled, F.lit(2), F.greatest(F.size(filled), F.lit(1))).alias("rows"))
+
+
 def valley_tiers(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, tiers): where vertical text has gutters across the page, as heights from the top.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,20 +56,19 @@ def chunks(texts: DataFrame, *, key: str, text: str, max_tokens: int = 4000, ove
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("the overlap must be smaller than a chunk")
     size, overlap = 4 * max_tokens, 4 * overlap_tokens
+    sentence_end = re.compile(r"[.!?](?=[ \n\t])")
 
     def cut(text: str | None):
-        start, n = 0, len(text or "")
-        while start < n:
-            stop = min(start + size, n)
-            if stop < n:
-                for i in range(stop - 1, max(stop - 500, start) - 1, -1):
-                    if text[i] in ".!?" and i + 1 < n and text[i + 1] in " \n\t":
-                        stop = i + 1
-                        break
+        body, start = text or "", 0
+        while start < len(body):
+            stop = start + size
+            if stop < len(body):
+                # The last sentence that ends in the window's last 499 characters.
+                ends = [m.end() for m in sentence_end.finditer(body, max(stop - 499, start + 1), stop + 1) if m.end() <= stop]
+                stop = ends[-1] if ends else stop
+            stop = min(stop, len(body))
             yield start, stop
-            if stop >= n:
-                return
-            start = max(stop - overlap, start + 1)
+            start = len(body) if stop == len(body) else max(stop - overlap, start + 1)
 
     key_type = texts.schema[key].dataType.simpleString()
 
@@ -87,9 +88,26 @@ def chunks(texts: DataFrame, *, key: str, text: str, max_tokens: int = 4000, ove
     return cut_up.withColumnRenamed("key", key)
 
 
+def coverage(pages: DataFrame, *, least_chars: int = 100, most: int = 50) -> DataFrame:
+    """What the pages(file_path, page, text_chars, raster_images) of each file hold, and its first pages to recognise: those
+    with an image and few characters. Candidates are cut by rank before they come together."""
+    text, raster = F.col("text_chars") > 0, F.col("raster_images") > 0
+    wanted = raster & (F.col("text_chars") < least_chars)
+    sums = [F.count_if(text).alias("pages_with_text"), F.count_if(~text & raster).alias("image_only"), F.count_if(~text & ~raster).alias("empty"), F.count_if(raster).alias("raster_pages"), F.sum("text_chars").cast("long").alias("chars"), (F.count_if(wanted) > most).alias("truncated")]
+    rank = F.row_number().over(Window.partitionBy("file_path").orderBy("page"))
+    first = pages.filter(wanted).select("file_path", "page").withColumn("r", rank).filter(F.col("r") <= most)
+    listed = first.groupBy(F.col("file_path").alias("c_file")).agg(F.array_join(F.sort_array(F.collect_list("page")), ",").alias("ocr_candidates"))
+    joined = pages.groupBy("file_path").agg(*sums).join(listed, F.col("file_path").eqNullSafe(F.col("c_file")), "left").drop("c_file")
+    return joined.withColumn("ocr_candidates", F.coalesce("ocr_candidates", F.lit("")))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows, and the old ones that no new row replaces."""
-    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+    """New rows, and the old ones that no new row replaces; a null key is a key like any other."""
+    fresh = new.select(*[F.col(k).alias(f"n_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"n_{k}"))
+    return new.unionByName(old.join(fresh, same, "left_anti"))
 
 
 def expired(rows: DataFrame, *, at: str, now: Column, hours: int = 24) -> DataFrame:

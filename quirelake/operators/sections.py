@@ -10,6 +10,7 @@ from ..functions import text as tx
 
 #: Fixed value: what a heading looks like without any layout.
 HEADING = r"^(?:\d+(?:\.\d+)*\s+[A-Z]|(?i:Chapter|Section|Part)\s+\d+|(?i:Abstract|References|Acknowledgements?|Acknowledgments?|Bibliography)\s*$|Appendix\s+[A-Z])"
+#: Fixed value: a number that waits for its title.
 NUMBER_ONLY = r"^\d+(\.\d+)*\.?$"
 #: The weights of a line's signals, and the least sum of a heading.
 WEIGHTS = {"face_delta": 2, "bold_marker": 2, "whitespace_above": 1, "top_of_page": 1, "regex_match": 3, "title_case_or_caps": 1, "short_line": 1}
@@ -78,7 +79,7 @@ def line_features(lines: DataFrame) -> DataFrame:
     """The seven signals of lines(file_path, page, ord, page_height, y0, y1, text, font, flags) and their weighted sum."""
     before = F.lag("y1").over(Window.partitionBy("file_path", "page").orderBy("ord"))
     height = F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
-    faced = lines.withColumn("_prev", before).join(F.broadcast(body_fingerprint(lines)), "file_path")
+    faced = lines.withColumn("_prev", before).join(body_fingerprint(lines), "file_path")
     bare = tx.strip(F.col("text"))
     bold = F.col("flags").bitwiseAND(F.lit(16)) != 0
     signals = {
@@ -97,6 +98,26 @@ def line_features(lines: DataFrame) -> DataFrame:
     return marked.withColumn("score", score)
 
 
+def detected_sections(lines: DataFrame, totals: DataFrame, *, max_chars: int = 200) -> DataFrame:
+    """(file_path, ord, title, start_page, end_page, title_source) from the lines' signals: headings of at most so many
+    characters, numbers joined to their titles; each section ends before the next starts. A heading whose shape isn't
+    clean starts a section without a title."""
+    heads = line_features(lines).filter((F.col("score") >= THRESHOLD) & (tx.strip(F.col("text")) != "") & (F.char_length(tx.strip(F.col("text"))) <= max_chars))
+    merged = merge_split_headings(heads.select("file_path", "page", "ord", tx.strip(F.col("text")).alias("text"), F.col("y0").alias("y"))).join(totals, "file_path")
+    after = F.lead("page").over(Window.partitionBy("file_path").orderBy("page", "ord"))
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("page", "ord")) - 1
+    clean = clean_heading(F.col("text"))
+    named = merged.select("file_path", place.cast("long").alias("place"), F.when(clean, F.col("text")).alias("title"), F.col("page").alias("start_page"), F.coalesce(after - 1, F.col("total")).alias("end_page"), F.when(clean, "heading_detected").alias("title_source"))
+    return named.withColumnRenamed("place", "ord")
+
+
+def derived_sections(toc: DataFrame, lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """Sections by the table of contents for files that have one, by headings for all others, as one table."""
+    listed = toc_sections(toc, totals).withColumn("title_source", F.lit("toc"))
+    others = lines.join(toc.select("file_path").distinct(), "file_path", "left_anti")
+    return listed.unionByName(detected_sections(others, totals))
+
+
 def merge_split_headings(candidates: DataFrame, max_gap: float = 50.0) -> DataFrame:
     """A bare number joined to the next candidate of its page if that is near; both are used up.
 
@@ -122,6 +143,32 @@ def repeated_lines(lines: DataFrame, share: float) -> DataFrame:
     return counts.join(totals, "file_path").filter(F.col("pages") >= share * F.col("total")).select("file_path", "line", "pages")
 
 
+#: Fixed value: a line that only numbers its page.
+PAGE_NUMBER = r"(?i)^\s*(page\s+)?\d+(\s*(of|/)\s*\d+)?\s*$"
+
+
+def boilerplate(lines: DataFrame, share: float = 0.5) -> DataFrame:
+    """(file_path, line): stripped lines on at least that share of a file's pages, and, if page numbers of any form are on
+    as many, all of their forms."""
+    bare = lines.select("file_path", "page_id", tx.strip(F.col("line")).alias("line"))
+    totals = bare.groupBy(F.col("file_path").alias("t_file")).agg(F.countDistinct("page_id").alias("total"))
+    held = bare.filter("line <> ''").distinct().withColumn("numbers", F.rlike("line", F.lit(PAGE_NUMBER)))
+    family = F.when(F.col("numbers"), F.lit(0)).otherwise(F.xxhash64("line"))  # all page numbers of a file count as one line
+    pages = held.groupBy("file_path", "numbers", family.alias("family")).agg(F.countDistinct("page_id").alias("pages"))
+    often = pages.join(totals, F.col("file_path") == F.col("t_file")).filter(F.col("pages") >= share * F.col("total"))
+    often = often.select(F.col("file_path").alias("o_file"), F.col("numbers").alias("o_numbers"), F.col("family").alias("o_family"))
+    same = (F.col("file_path") == F.col("o_file")) & (F.col("numbers") == F.col("o_numbers")) & (family == F.col("o_family"))
+    return held.join(often, same, "left_semi").select("file_path", "line").distinct()
+
+
+def stripped_texts(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(page_id, text): every page's lines but the repeated ones, joined again; a page of nothing else is empty."""
+    kept = strip_lines(lines, repeated).select(F.col("page_id").alias("k_page"), F.struct("line_no", "line").alias("l"))
+    gathered = kept.groupBy("k_page").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    joined = lines.select("page_id").distinct().join(gathered, F.col("page_id") == F.col("k_page"), "left")
+    return joined.select("page_id", F.coalesce(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("")).alias("text"))
+
+
 def strip_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """The lines that aren't repeated ones."""
     keys = repeated.select(F.col("file_path").alias("f"), F.col("line").alias("l"))

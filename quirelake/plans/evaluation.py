@@ -10,10 +10,12 @@ from ..functions import text as tx
 from ..operators import evaluation as op
 from ..operators import search as se
 from ..sources import adapters as ad
+from ..storage import kept
 from . import search as searches
 from .registry import Literal, query, table
 
-_LISTS = f"{searches._ARMS}, h AS (SELECT 'keyword' AS query, rank, page FROM kw UNION ALL SELECT 'semantic', rank, page FROM sem), g AS (SELECT query, doc_id AS page, CAST(quality AS BIGINT) AS grade FROM labels, (SELECT DISTINCT query FROM h) q)"
+_GRADES = "g AS (SELECT query, doc_id AS page, CAST(quality AS BIGINT) AS grade FROM labels, (SELECT DISTINCT query FROM h) q)"
+_LISTS = f"{searches._ARMS}, h AS (SELECT 'keyword' AS query, rank, page FROM kw UNION ALL SELECT 'semantic', rank, page FROM sem), {_GRADES}"
 _METRICS = """
     got AS (SELECT query, sum(coalesce(grade, 0) / log2(rank + 1)) AS dcg, min(rank) FILTER (grade > 0) AS first_hit, count(*) FILTER (grade > 0) AS found FROM h LEFT JOIN g USING (query, page) WHERE rank <= {k} GROUP BY query),
     ideal AS (SELECT query, coalesce(sum(grade / log2(r + 1)) FILTER (r <= {k}), 0) AS idcg, count(*) FILTER (grade > 0) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC) AS r FROM g) GROUP BY query)"""
@@ -36,16 +38,28 @@ def ndcg_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(op.retrieval_metrics(hits, grades, 10), "ndcg", "mrr", "recall")
 
 
-@query(f"""WITH {_LISTS}, ks AS (SELECT unnest([5, 10, 20, 30]) AS k) SELECT query, CAST(k AS BIGINT) AS k, count(*) FILTER (grade > 0) AS found, round(coalesce(max(1.0 / rank) FILTER (grade > 0), 0), 4) AS mrr FROM h JOIN ks ON rank <= k LEFT JOIN g USING (query, page) GROUP BY query, k""")
+KS = (10, 30, 60, 120)
+_WIDE = searches._ARMS.replace("rank <= 30", f"rank <= {max(KS)}")
+_FUSED = "fused AS (SELECT coalesce(kw.page, sem.page) AS page, row_number() OVER (ORDER BY round(coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0), 9) DESC, coalesce(kw.page, sem.page)) AS rank FROM kw FULL JOIN sem ON kw.page = sem.page)"
+
+
+@query(f"""WITH {_WIDE}, {_FUSED}, h AS (SELECT 'keyword' AS query, rank, page FROM kw UNION ALL SELECT 'semantic', rank, page FROM sem UNION ALL SELECT 'hybrid', rank, page FROM fused WHERE rank <= {max(KS)} UNION ALL SELECT 'router', rank, page FROM sem),
+    {_GRADES}, r AS (SELECT count(*) AS relevant FROM labels WHERE quality > 0), ks AS (SELECT unnest({list(KS)}) AS k), m AS (SELECT query, k, rank, coalesce(grade, 0) > 0 AS good FROM h JOIN ks ON rank <= k LEFT JOIN g USING (query, page))
+    SELECT query, CAST(k AS BIGINT) AS k, count(*) FILTER (good) AS found, round(count(*) FILTER (good) / any_value(relevant), 4) AS recall, round(coalesce(max(1.0 / rank) FILTER (good), 0), 4) AS mrr FROM m, r GROUP BY query, k""")
 def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, grades = _hits_and_grades(spark, sf_dir)
-    swept = hits.join(grades, ["query", "page"], "left").select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in (5, 10, 20, 30)])).alias("k")).filter("rank <= k")
-    good = F.col("grade") > 0
-    return swept.groupBy("query", "k").agg(F.count_if(good).alias("found"), F.round(F.coalesce(F.max(F.when(good, 1.0 / F.col("rank"))), F.lit(0.0)), 4).alias("mrr"))
+    """Four arms at four cut-offs: keyword, semantic, both fused, and the arm that the router picks (here semantic)."""
+    arms = searches._arms(spark, sf_dir, max(KS)).select(F.col("arm").alias("query"), F.col("rank").cast("long").alias("rank"), "page")
+    fused = se.ranked(se.top(se.fuse(arms), max(KS), "page", "rrf"), "page", "rrf").select(F.lit("hybrid").alias("query"), F.col("rank").cast("long").alias("rank"), "page")
+    routed = arms.filter(F.col("query") == searches.route(F.lit(searches.QUERY))).withColumn("query", F.lit("router"))
+    good = table(spark, sf_dir, "labels").filter("quality > 0").select(F.col("doc_id").alias("page"), F.lit(True).alias("good"))
+    hits = arms.unionByName(fused).unionByName(routed).join(good, "page", "left").withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in KS]))).filter("rank <= k")
+    found = hits.groupBy("query", "k").agg(F.count_if("good").alias("found"), F.round(F.coalesce(F.max(F.when(F.col("good"), 1.0 / F.col("rank"))), F.lit(0.0)), 4).alias("mrr"))
+    relevant = good.agg(F.count("*").alias("relevant"))
+    return found.join(F.broadcast(relevant), how="cross").select("query", "k", "found", F.round(op.ratio(F.col("found"), F.col("relevant")), 4).alias("recall"), "mrr")
 
 
 _NGRAMS = "CASE WHEN len({t}) >= 5 THEN list_distinct(list_transform(range(1, len({t}) - 3), lambda i: array_to_string(list_slice({t}, i, i + 4), ' '))) ELSE [] END"
-_PAIRS = f"pairs AS (SELECT doc_id, item_id, {searches._TOKENS.format('d.text')} AS dt, {searches._TOKENS.format('b.text')} AS bt FROM documents d JOIN benchmark b ON doc_id % 40 = item_id)"
+_PAIRS = f"pairs AS (SELECT doc_id, item_id, {searches._TOKENS.format('d.text')} AS dt, {searches._TOKENS.format('b.text')} AS bt FROM documents d CROSS JOIN (SELECT count(DISTINCT item_id) AS n FROM benchmark) c JOIN (SELECT *, dense_rank() OVER (ORDER BY item_id) AS place FROM benchmark WHERE item_id IS NOT NULL) b ON doc_id % n = place - 1)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +79,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PAIRS}, n AS (SELECT doc_id, item_id, {_NGRAMS.format(t='dt')} AS dn, {_NGRAMS.format(t='bt')} AS bn FROM pairs)
     SELECT doc_id, item_id, CAST(len(list_intersect(dn, bn)) AS BIGINT) AS shared, round(CASE WHEN len(bn) > 0 THEN len(list_intersect(dn, bn)) / len(bn) ELSE 0 END, 4) AS recall, round(CASE WHEN len(dn) > 0 THEN len(list_intersect(dn, bn)) / len(dn) ELSE 0 END, 4) AS precision FROM n""")
 def ngram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _pairs(spark, sf_dir).select("doc_id", "item_id", tx.ngrams(F.col("dt"), 5).alias("dn"), tx.ngrams(F.col("bt"), 5).alias("bn"))
+    grams = _pairs(spark, sf_dir).select("doc_id", "item_id", tx.ngram_hashes(F.col("dt"), 5).alias("dn"), tx.ngram_hashes(F.col("bt"), 5).alias("bn"))
     shared = F.size(F.array_intersect("dn", "bn"))
     return grams.select("doc_id", "item_id", shared.cast("long").alias("shared"), F.round(op.ratio(shared, F.size("bn")), 4).alias("recall"), F.round(op.ratio(shared, F.size("dn")), 4).alias("precision"))
 
@@ -79,9 +93,9 @@ def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PAIRS}, f AS (SELECT doc_id, word, count(*) AS f FROM (SELECT doc_id, unnest(dt) AS word FROM pairs) GROUP BY ALL), g AS (SELECT doc_id, word, count(*) AS g FROM (SELECT doc_id, unnest(bt) AS word FROM pairs) GROUP BY ALL)
     SELECT doc_id, round(sum(least(coalesce(f, 0), g)) / sum(g), 4) AS recall FROM g LEFT JOIN f USING (doc_id, word) GROUP BY doc_id""")
 def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    recall = op.multiset_recall(pairs.select("doc_id", F.explode("dt").alias("word")), pairs.select("doc_id", F.explode("bt").alias("word")), "doc_id")
-    return _rounded(recall, "recall")
+    """The share of an item's words, with repetition, that its document holds."""
+    pairs = _pairs(spark, sf_dir).filter(F.size("bt") > 0)
+    return pairs.select("doc_id", F.round(op.multiset_recall(F.col("dt"), F.col("bt")), 4).alias("recall"))
 
 
 @query(f"WITH {searches._ARMS}, a AS (SELECT list(page) AS k FROM kw WHERE rank <= 10), b AS (SELECT list(page) AS s FROM sem WHERE rank <= 10) SELECT CAST(len(list_intersect(k, s)) AS BIGINT) AS shared, round(len(list_intersect(k, s)) / len(list_distinct(list_concat(k, s))), 4) AS jaccard FROM a, b")
@@ -100,34 +114,66 @@ def page_to_section_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("file_path", F.floor(F.col("page_num") / 10).alias("section")).agg(F.min("rank").alias("rank"))
 
 
-_WALK = f"""{ad.PAGES_SQL}, t AS (SELECT file_path, count(*) // 2 AS start, sum(length(text)) AS total FROM pages GROUP BY file_path), w AS (SELECT file_path, length(text) / total * 3 AS gain, row_number() OVER o AS n, coalesce(sum(length(text) / total * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM pages JOIN t USING (file_path) WINDOW o AS (PARTITION BY file_path ORDER BY abs(page_num - start), page_num DESC)), walk AS (SELECT file_path, count(*) - 1 AS reads, round(sum(gain), 4) AS covered FROM w WHERE n <= 11 AND before < 0.95 GROUP BY file_path)"""
+_SECTIONS = f"""{ad.PAGES_SQL}, pt AS (SELECT file_path, page_num + 1 AS page, text, {searches._TOKENS.format('text')} AS words FROM pages), tot AS (SELECT file_path, count(*) AS total FROM pt GROUP BY file_path),
+    sec AS (SELECT file_path, (page - 1) // 3 AS section, min(page) AS first, max(page) AS last, arg_max(page, len(list_distinct(words)) * 1000000 - page) AS start, any_value(total) AS total FROM pt JOIN tot USING (file_path) GROUP BY ALL HAVING sum(length(text)) >= 1000)"""
+_READS = f"""{_SECTIONS}, near AS (SELECT s.*, unnest(range(greatest(1, least(first, start - 10)), least(total, greatest(last, start + 10)) + 1)) AS page FROM sec s),
+    st AS (SELECT *, CASE WHEN page = start THEN 0 WHEN page > start THEN page - start + least(page - start - 1, start - 1) ELSE start - page + least(start - page, total - start) END AS step, page BETWEEN first AND last AS own FROM near),
+    w AS (SELECT st.file_path, section, own, CASE WHEN step <= 10 THEN step END AS step, unnest(list_distinct(words)) AS word FROM st JOIN pt ON pt.file_path = st.file_path AND pt.page = st.page WHERE own OR step <= 10),
+    f AS (SELECT file_path, section, word, min(step) AS step FROM w GROUP BY ALL HAVING bool_or(own)), n AS (SELECT file_path, section, count(*) AS n FROM f GROUP BY ALL),
+    c AS (SELECT n.file_path, n.section, k, count(*) FILTER (step <= k) / any_value(n) AS share FROM n JOIN f USING (file_path, section), (SELECT unnest(range(0, 11)) AS k) GROUP BY n.file_path, n.section, k),
+    reads AS (SELECT file_path, section, coalesce(min(k) FILTER (share >= 0.95 AND k < 10), 10) AS reads, round(coalesce(min(share) FILTER (share >= 0.95), max(share)), 4) AS covered FROM c GROUP BY ALL)"""
 
 
-def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each file from its middle page; a page's share of the text, three times, stands for the coverage it adds."""
-    docs = table(spark, sf_dir, "documents")
-    sizes = docs.select(F.col("doc_id").alias("d"), F.char_length("text").alias("chars"))
-    pages = ad.page_numbers(docs).join(sizes, F.col("page_id") == F.col("d"))
-    starts = docs.groupBy(F.col("source").alias("file_path")).agg(F.floor(F.count("*") / 2).alias("start"), F.sum(F.char_length("text")).alias("total"))
-    return _rounded(op.agent_walk(pages, starts, F.col("chars") / F.col("total") * 3), "covered")
+def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pages with their words, sections of three pages and 1000 characters or more): a section is hit on its page with the
+    most distinct words."""
+    pages = ad.pages(table(spark, sf_dir, "documents")).select("file_path", (F.col("page_num") + 1).alias("page"), "text")
+    pages = kept(pages.withColumn("words", tx.word_tokens(F.col("text"))), "page-words")
+    totals = pages.groupBy(F.col("file_path").alias("t_file")).agg(F.count("*").alias("total"))
+    facts = pages.select("file_path", "page", F.floor((F.col("page") - 1) / 3).alias("section"), F.char_length("text").alias("chars"), F.size(F.array_distinct("words")).alias("distinct"))
+    found = facts.groupBy("file_path", "section").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.max_by("page", F.struct("distinct", -F.col("page"))).alias("start"), F.sum("chars").alias("chars"))
+    return pages, found.filter("chars >= 1000").drop("chars").join(totals, F.col("file_path").eqNullSafe(F.col("t_file"))).drop("t_file")
 
 
-@query(f"WITH {_WALK} SELECT * FROM walk")
+@query(f"WITH {_READS} SELECT * FROM reads")
 def agent_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walk(spark, sf_dir)
+    return _rounded(op.agent_reads(*_sections(spark, sf_dir)), "covered")
 
 
-@query(f"WITH {_WALK} SELECT round(avg(reads), 4) AS mean_reads, round(avg((reads = 0)::INT), 4) AS no_extra, count(*) AS files FROM walk")
+@query(f"WITH {_READS} SELECT file_path, count(*) AS sections, round(avg(reads), 4) AS mean_reads, round(avg((reads = 0)::INT), 4) AS no_extra FROM reads GROUP BY file_path")
 def agent_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walk(spark, sf_dir).agg(F.round(F.avg("reads"), 4).alias("mean_reads"), F.round(F.avg((F.col("reads") == 0).cast("int")), 4).alias("no_extra"), F.count("*").alias("files"))
+    reads = op.agent_reads(*_sections(spark, sf_dir))
+    return reads.groupBy("file_path").agg(F.count("*").alias("sections"), F.round(F.avg("reads"), 4).alias("mean_reads"), F.round(F.avg((F.col("reads") == 0).cast("int")), 4).alias("no_extra"))
 
 
-@query(f"WITH {_PAIRS}, n AS (SELECT doc_id, {_NGRAMS.format(t='dt')} AS dn, {_NGRAMS.format(t='bt')} AS bn FROM pairs WHERE len(dt) >= 100) SELECT count(*) AS measured, count(*) FILTER (len(list_intersect(dn, bn)) > 0) AS touched, round(max(len(list_intersect(dn, bn)) / len(bn)), 4) AS best FROM n WHERE len(bn) > 0")
+_WORDS_OF = searches._TOKENS.format("string_agg(text, chr(10) ORDER BY page)")
+
+
+@query(f"""WITH {_SECTIONS}, gold AS (SELECT s.file_path, section, start, {_WORDS_OF} AS t FROM sec s JOIN pt ON pt.file_path = s.file_path AND pt.page BETWEEN first AND last GROUP BY ALL),
+    hit AS (SELECT file_path, (page - 1) // 2 AS pair, {_WORDS_OF} AS t FROM pt GROUP BY ALL),
+    g AS (SELECT gold.file_path, section, {_NGRAMS.format(t='gold.t')} AS gn, {_NGRAMS.format(t='pt.words')} AS pn, {_NGRAMS.format(t='hit.t')} AS sn FROM gold JOIN pt ON pt.file_path = gold.file_path AND pt.page = start JOIN hit ON hit.file_path = gold.file_path AND pair = (start - 1) // 2),
+    m AS (SELECT file_path, len(list_intersect(gn, pn)) / len(gn) AS page_recall, len(list_intersect(gn, sn)) / len(gn) AS section_recall FROM g WHERE len(gn) > 0)
+    SELECT file_path, count(*) AS sections, round(avg(page_recall), 4) AS page_recall, round(avg(section_recall), 4) AS section_recall, round(avg(section_recall - page_recall), 4) AS gain FROM m GROUP BY file_path""")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _pairs(spark, sf_dir).filter(F.size("dt") >= 100).select(tx.ngrams(F.col("dt"), 5).alias("dn"), tx.ngrams(F.col("bt"), 5).alias("bn")).filter(F.size("bn") > 0)
-    shared = F.size(F.array_intersect("dn", "bn"))
-    return grams.agg(F.count("*").alias("measured"), F.count_if(shared > 0).alias("touched"), F.round(F.max(shared / F.size("bn")), 4).alias("best"))
+    """How much of a section's 5-grams the page that was hit holds, and the two-page section around it that was found."""
+    pages, sections = _sections(spark, sf_dir)
+    p = pages.select(F.col("file_path").alias("p_file"), F.col("page").alias("p"), "words")
+
+    def words_of(groups: DataFrame, keys: list[str]) -> DataFrame:
+        """The words of the pages first..last in order: words are joined, not texts, since no word goes beyond its page."""
+        listed = groups.withColumn("p_at", F.explode(F.sequence("first", "last"))).join(p, F.col("file_path").eqNullSafe(F.col("p_file")) & (F.col("p_at") == F.col("p")))
+        gathered = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "words"))).alias("w"))  # two or three pages
+        return gathered.select(*keys, tx.ngram_hashes(F.flatten(F.transform("w", lambda x: x["words"])), 5).alias("grams"))
+
+    gold = words_of(sections, ["file_path", "section", "start"])
+    low = 2 * F.floor((F.col("start") - 1) / 2) + 1
+    found = words_of(sections.withColumn("first", low).withColumn("last", F.least(low + 1, F.col("total"))), ["file_path", "section"])
+    found = found.select(F.col("file_path").alias("f_file"), F.col("section").alias("f_section"), F.col("grams").alias("section_grams"))
+    page = p.select("p_file", "p", tx.ngram_hashes(F.col("words"), 5).alias("page_grams"))
+    joined = gold.filter(F.size("grams") > 0).join(found, F.col("file_path").eqNullSafe(F.col("f_file")) & (F.col("section") == F.col("f_section"))).join(page, F.col("file_path").eqNullSafe(F.col("p_file")) & (F.col("start") == F.col("p")))
+    shares = [(F.size(F.array_intersect("grams", c)) / F.size("grams")).alias(n) for c, n in (("page_grams", "page_recall"), ("section_grams", "section_recall"))]
+    rated = joined.select("file_path", *shares).withColumn("gain", F.col("section_recall") - F.col("page_recall"))
+    return rated.groupBy("file_path").agg(F.count("*").alias("sections"), *[F.round(F.avg(c), 4).alias(c) for c in ("page_recall", "section_recall", "gain")])
 
 
 GOLD = Literal("doc string, page long", ("a", 1), ("a", 1), ("a", 5), ("a", 9), ("b", 2), ("d", 4))

@@ -51,6 +51,17 @@ def injection_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.injection_hits(_hidden(spark))
 
 
+USER_PHRASES = ("System  Prompt", "Label on dark", "arenow hidden", "never there")
+_ALL_PHRASES = dict.fromkeys(" ".join(p.lower().split()) for p in (*op.PHRASES, *USER_PHRASES))
+_USER_FOUND = " + ".join(f"(contains(n, '{p}') OR contains(replace(n, ' ', ''), '{p.replace(' ', '')}'))::INT" for p in _ALL_PHRASES)
+
+
+@query(f"WITH {_HIDDEN}, t AS (SELECT file_path, array_to_string(list_filter(string_split_regex(lower(string_agg(text, ' ' ORDER BY page, span_id)), '\\s+'), lambda x: x <> ''), ' ') AS n FROM hid GROUP BY file_path) SELECT file_path, CAST({_USER_FOUND} AS BIGINT) AS hits FROM t")
+def injection_hits_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in phrases and a user's own; one that is in both counts once."""
+    return op.injection_hits(_hidden(spark), (*op.PHRASES, *USER_PHRASES))
+
+
 @query(f"WITH {_HIDDEN} SELECT span_id, covered FROM cov JOIN s USING (span_id) WHERE type = 3")
 def ocr_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.covered_by_image(SPANS.df(spark).filter("type = 3"), IMAGES.df(spark))
@@ -87,6 +98,17 @@ def vertical_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.vertical_reorder(GLYPHS.df(spark), GLYPH_PAGES.df(spark))
 
 
+_LINE_DIRS = Literal(
+    "page_id string, ord long, text string, x0 double, y0 double, x1 double, y1 double, dx double, dy double",
+    ("p", 0, "across", 0, 0, 50, 10, 1, 0), ("p", 1, "下", 0, 20, 10, 30, 0, 1), ("p", 2, " \t", 0, 40, 10, 50, 0, 1), ("p", 3, "up", 0, 60, 10, 70, 0, -1), ("p", 4, "slanted", 0, 80, 10, 90, 0.7, 0.7), ("p", 5, "steep", 0, 80, 10, 90, -0.6, 0.8),
+)
+
+
+@query(f"WITH {_LINE_DIRS.cte('l')} SELECT page_id, ord, text, abs(dy) > abs(dx) AS vertical FROM l WHERE regexp_matches(text, '\\S')")
+def glyph_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.oriented(_LINE_DIRS.df(spark)).select("page_id", "ord", "text", "vertical")
+
+
 DRAWINGS = Literal("page_id string, x0 double, y0 double, x1 double, y1 double", ("v", 0, 150, 190, 151), ("v", 0, 155, 190, 156), ("v", 80, 160, 81, 290), ("v", 10, 10, 20, 20), ("m", 120, 40, 121, 250))
 _RULES = f"""{GLYPH_PAGES.cte('pg')}, {GLYPHS.cte('g')}, {DRAWINGS.cte('d')}, ru AS (SELECT page_id, CASE WHEN x1 - x0 > 0.3 * width AND y1 - y0 < 3 THEN 'h' WHEN y1 - y0 > 0.25 * height AND x1 - x0 < 3 THEN 'v' END AS kind, CASE WHEN x1 - x0 > 0.3 * width AND y1 - y0 < 3 THEN y0 ELSE x0 END AS pos, y0, y1 FROM d JOIN pg USING (page_id))"""
 
@@ -129,6 +151,34 @@ def page_text_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.page_text(BLOCKS.df(spark), IN_BOX.df(spark), BOXES.df(spark))
 
 
+def _down(xs: tuple[int, ...], bands: tuple[range, ...]) -> str:
+    """What a page of vertical columns reads: band by band, in each from the right column to the left."""
+    place = {(x, y): chr(0x4E00 + i) for i, (_, x, y) in enumerate(_COLUMNS)}
+    return "\n\n".join("".join(place[x, y] for x in sorted(xs, reverse=True) for y in band) for band in bands)
+
+
+_READ_DOWN = Literal("page_id string, mode string, text string", ("v", "vertical", _down((40, 160, 100), (range(10, 120, 10), range(180, 290, 10)))), ("m", "mixed", "\n".join(chr(0x3042 + i) for i in range(12)) + "\n\n" + _down((150, 90), (range(60, 220, 10),))))
+_ACROSS = [("v", 0, 0, 0, 10, 10, "not read here", 0)]
+MIXED_BLOCKS = Literal(BLOCKS.schema, *BLOCKS.rows, *_ACROSS)
+
+
+@query(f"""WITH {_COLS}, {_READ_DOWN.cte('down')}, f AS (SELECT single.page_id, NOT single AND coalesce(multi, FALSE) AS by_box FROM single LEFT JOIN multi USING (page_id)), p AS (SELECT b.page_id, CASE WHEN by_box THEN coalesce(box_no, 1048576) ELSE 0 END AS box, y0, x0, b.block_no, text FROM b LEFT JOIN ib ON ib.page_id = b.page_id AND ib.block_no = b.block_no LEFT JOIN f ON f.page_id = b.page_id WHERE kind = 0)
+    SELECT * FROM down UNION ALL SELECT page_id, 'horizontal', string_agg(text, chr(10) || chr(10) ORDER BY box, round(y0), x0, block_no) FROM p GROUP BY page_id""")
+def page_text_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertical and mixed pages read down, from the right; their blocks aren't used. The vertical readings are literal."""
+    return op.texts_by_mode(GLYPHS.df(spark), GLYPH_PAGES.df(spark), MIXED_BLOCKS.df(spark), IN_BOX.df(spark), BOXES.df(spark))
+
+
+CELLS = Literal("id long, r long, c0 string, c1 string", (0, 0, "Name", "Value"), (0, 1, "Alpha", None), (0, 2, None, "2"), (1, 0, "lone", "row"))
+
+
+@query(f"WITH {CELLS.cte('t')}, f AS (SELECT id, r, coalesce(c0, '') || '|' || coalesce(c1, '') AS line FROM t) SELECT id, max(line) FILTER (r = 0) AS header, coalesce(string_agg(line, chr(10) ORDER BY r) FILTER (r > 0), '') AS rows FROM f GROUP BY id")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gathered = CELLS.df(spark).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.array("c0", "c1").alias("cells")))), lambda x: x["cells"]).alias("cells"))
+    split = gathered.select("id", op.table_rows(F.col("cells")).alias("t"))
+    return split.select("id", F.array_join("t.header", "|").alias("header"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))
+
+
 @query(f"WITH {BLOCKS.cte('b')} SELECT page_id, CASE WHEN count(*) FILTER (x0 > 0.55 * 600) / count(*) > 0.18 THEN 2 ELSE 1 END AS columns FROM b WHERE regexp_matches(text, '\\S') GROUP BY page_id")
 def column_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = F.count_if(F.col("x0") > 0.55 * 600) / F.count("*")

@@ -92,22 +92,18 @@ def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("*", F.round(F.col("bytes") / 1048576, 2).alias("size_mb"), (4 * F.floor((F.col("bytes") + 2) / 3)).alias("base64_bytes"), F.substring(F.sha2(F.col("file_path"), 256), 1, 16).alias("path_hash"))
 
 
-#: Raster images by page are not in the data: every seventh document has one.
-def _raster():
-    return F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+_BOXES = "len(string_split(html, 'class=\"ad\"')) - 1"
 
 
-@query("""WITH p AS (SELECT source AS file_path, doc_id, length(text) AS chars, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS raster FROM documents)
-    SELECT file_path, count(*) FILTER (chars > 0) AS pages_with_text, count(*) FILTER (chars = 0 AND raster > 0) AS image_only, count(*) FILTER (chars = 0 AND raster = 0) AS empty, count(*) FILTER (raster > 0) AS raster_pages,
-      CAST(sum(chars) AS BIGINT) AS chars, array_to_string(list_slice(list_sort(coalesce(list(doc_id) FILTER (raster > 0 AND chars < 100), [])), 1, 50), ',') AS ocr_candidates, count(*) FILTER (raster > 0 AND chars < 100) > 50 AS truncated FROM p GROUP BY file_path""")
+@query(f"""WITH {ad.SECTIONS_SQL}, p AS (SELECT file_path, section_key AS page, length(text) AS chars, {_BOXES} AS raster FROM sections JOIN pages ON page_id = section_key), c AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY page) AS r FROM p WHERE raster > 0 AND chars < 2000)
+    SELECT file_path, count(*) FILTER (chars > 0) AS pages_with_text, count(*) FILTER (chars = 0 AND raster > 0) AS image_only, count(*) FILTER (chars = 0 AND raster = 0) AS empty, count(*) FILTER (raster > 0) AS raster_pages, CAST(sum(chars) AS BIGINT) AS chars,
+      coalesce((SELECT string_agg(page, ',' ORDER BY page) FROM c WHERE c.file_path = p.file_path AND r <= 50), '') AS ocr_candidates, count(*) FILTER (raster > 0 AND chars < 2000) > 50 AS truncated FROM p GROUP BY file_path""")
 def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id", F.char_length("text").alias("chars"), _raster().alias("raster"))
-    ocr = (F.col("raster") > 0) & (F.col("chars") < 100)
-    return pages.groupBy("file_path").agg(
-        F.count_if(F.col("chars") > 0).alias("pages_with_text"), F.count_if((F.col("chars") == 0) & (F.col("raster") > 0)).alias("image_only"),
-        F.count_if((F.col("chars") == 0) & (F.col("raster") == 0)).alias("empty"), F.count_if(F.col("raster") > 0).alias("raster_pages"), F.sum("chars").cast("long").alias("chars"),
-        F.array_join(F.slice(F.sort_array(F.collect_list(F.when(ocr, F.col("doc_id")))), 1, 50), ",").alias("ocr_candidates"), (F.count_if(ocr) > 50).alias("truncated"),
-    )
+    """Web pages by host: their advertisements play the raster images, and a page of under 2000 characters with one is a
+    candidate for recognition."""
+    raw = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), (F.size(F.split("html", 'class="ad"')) - 1).alias("raster_images"))
+    texts = ad.html_sections(table(spark, sf_dir, "pages")).select("file_path", F.col("section_key").alias("page"), F.char_length("text").alias("text_chars"))
+    return pg.coverage(texts.join(raw, F.col("page") == F.col("p")).drop("p"), least_chars=2000)
 
 
 @query("SELECT count(*) AS pages, count(DISTINCT source) AS files, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (length(text) < 100) AS short_pages, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS blocks FROM documents")
@@ -199,9 +195,11 @@ def mojibake_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _MOJIBAKE.df(spark).select("id", tx.without_mojibake(F.col("body")).alias("kept"))
 
 
-@query("SELECT source AS file_path, page_id, array_to_string(t, ' ') AS tokens FROM (SELECT source, doc_id AS page_id, list_slice(list_filter(string_split_regex(regexp_replace(lower(regexp_replace(text, '\\\\[a-zA-Z]+', ' ', 'g')), '[^a-z0-9 ]', ' ', 'g'), '\\s+'), lambda x: x <> ''), 1, 8) AS t FROM documents)")
+@query("SELECT page_id, len(t) AS tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id AS page_id, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(text, '\\\\[a-zA-Z]+', ' ', 'g')), '[^a-z0-9 ]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM documents)")
 def alnum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("page_id"), F.array_join(tx.alnum_tokens(F.col("text"), 8), " ").alias("tokens"))
+    """The whole stream of tokens of every page, as a count and a digest."""
+    cut = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.inline(F.array(F.struct(tx.alnum_tokens(F.col("text")).alias("t")))))
+    return cut.select("page_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("SELECT 'paged documents' AS model, 10 AS max_results, 200 AS context_chars, 500 AS max_pages, FALSE AS pdf_decoder, FALSE AS ocr")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -230,9 +230,14 @@ def paragraph_for_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.filter("300 >= start and 300 < start + n").select("page_id", F.col("line_no").cast("long").alias("block"), F.col("start").cast("long").alias("start"))
 
 
+def route(text: Column) -> Column:
+    """The arm that a query goes to by its look: names and codes to keywords, the rest to vectors."""
+    return F.when(F.rlike(text, F.lit(r"[A-Z0-9\-]{4,}")), "keyword").otherwise("semantic")
+
+
 ROUTED = Literal("id long, q string", (0, "GPT-4"), (1, "how does attention work"), (2, "RFC2119 terms"), (3, "ABC"), (4, "the X-12 model"))
 
 
 @query(f"WITH {ROUTED.cte('t')} SELECT id, CASE WHEN regexp_matches(q, '[A-Z0-9\\-]{{4,}}') THEN 'keyword' ELSE 'semantic' END AS route FROM t")
 def route_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ROUTED.df(spark).select("id", F.when(F.rlike("q", F.lit(r"[A-Z0-9\-]{4,}")), "keyword").otherwise("semantic").alias("route"))
+    return ROUTED.df(spark).select("id", route(F.col("q")).alias("route"))

@@ -90,6 +90,20 @@ def body_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.body_fingerprint(SPANS.df(spark))
 
 
+TOC_A = Literal(TOC.schema, *[r for r in TOC.rows if r[0] == "a"])
+_TOC_A = f"""{TOC_A.cte('toc')}, {TOTALS.cte('tot')}, spans AS (SELECT file_path, ord, title, page AS start_page,
+    coalesce((SELECT arg_min(l.page, l.ord) FROM toc l WHERE l.file_path = t.file_path AND l.ord > t.ord AND l.level <= t.level) - 1, total) AS end_page FROM toc t JOIN tot USING (file_path))"""
+_CLEAN = "length(bare) <= 120 AND NOT contains(regexp_replace(bare, '[.:]$', ''), '. ') AND NOT contains(regexp_replace(bare, '[.:]$', ''), '; ')"
+
+
+@query(f"""WITH {_TOC_A}, {_FEATURES}, h AS (SELECT w.file_path, w.page, w.ord, w.bare FROM f JOIN w ON w.file_path = f.file_path AND w.page = f.page AND w.ord = f.ord WHERE score >= 4 AND bare <> '' AND length(bare) <= 200 AND w.file_path NOT IN (SELECT file_path FROM toc))
+    SELECT file_path, ord, title, start_page, end_page, 'toc' AS title_source FROM spans UNION ALL
+    SELECT file_path, row_number() OVER o - 1, CASE WHEN {_CLEAN} THEN bare END, page, coalesce(lead(page) OVER o - 1, total), CASE WHEN {_CLEAN} THEN 'heading_detected' END FROM h JOIN tot USING (file_path) WINDOW o AS (PARTITION BY file_path ORDER BY page, ord)""")
+def derived_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File a by its table of contents, file b by its headings, as one table."""
+    return op.derived_sections(TOC_A.df(spark), SPANS.df(spark), TOTALS.df(spark))
+
+
 CANDIDATES = Literal("file_path string, page long, ord long, text string, y double", ("a", 1, 0, "1", 10), ("a", 1, 1, "Introduction", 30), ("a", 1, 2, "2.", 100), ("a", 1, 3, "3.1", 120), ("a", 1, 4, "Method", 140), ("a", 1, 5, "4", 200), ("a", 1, 6, "Too far", 300), ("a", 1, 7, "5", 700), ("a", 2, 0, "Other page", 10), ("b", 1, 0, "7", 5))
 MERGED = Literal("file_path string, page long, ord long, text string", ("a", 1, 0, "1 Introduction"), ("a", 1, 2, "2. 3.1"), ("a", 1, 4, "Method"), ("a", 1, 5, "4"), ("a", 1, 6, "Too far"), ("a", 1, 7, "5"), ("a", 2, 0, "Other page"), ("b", 1, 0, "7"))
 
@@ -152,3 +166,33 @@ def boilerplate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = docs.groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("total"))
     n, share = F.col("pages"), F.col("total")
     return counts.join(totals, "file_path").groupBy("file_path").agg(F.count_if(n >= 0.3 * share).alias("covered"), F.count_if((n >= 2) & (n < 0.25 * share)).alias("suspects"), F.max("pages").alias("most"))
+
+
+_NUMBERED = "regexp_matches(line, '(?i)^\\s*(page\\s+)?\\d+(\\s*(of|/)\\s*\\d+)?\\s*$')"
+_PAGED = f"""{ad.LINES_SQL}, paged AS (SELECT file_path, page_id, line_no, line FROM lines UNION ALL SELECT DISTINCT file_path, page_id, 1000000, CASE WHEN page_id % 3 = 0 THEN 'Page ' || page_id || ' of 99' WHEN page_id % 3 = 1 THEN page_id || '' ELSE 'no number' END FROM lines),
+    bare AS (SELECT DISTINCT file_path, page_id, regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '') AS line FROM paged), held AS (SELECT *, {_NUMBERED} AS numbers FROM bare WHERE line <> ''), tot AS (SELECT file_path, count(DISTINCT page_id) AS total FROM bare GROUP BY file_path),
+    often AS (SELECT file_path, line FROM held JOIN tot USING (file_path) WHERE NOT numbers GROUP BY file_path, line HAVING count(*) >= 0.5 * any_value(total)), fam AS (SELECT file_path FROM held JOIN tot USING (file_path) WHERE numbers GROUP BY file_path HAVING count(DISTINCT page_id) >= 0.5 * any_value(total)),
+    boiler AS (SELECT * FROM often UNION SELECT file_path, line FROM held WHERE numbers AND file_path IN (SELECT file_path FROM fam))"""
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines with a last line more: a page number, in one of two forms, on two pages of three."""
+    lines = ad.page_lines(table(spark, sf_dir, "documents")).withColumn("line_no", F.col("line_no").cast("long"))
+    page = F.col("page_id").cast("string")
+    number = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Page "), page, F.lit(" of 99"))).when(F.col("page_id") % 3 == 1, page).otherwise("no number")
+    footers = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("page_id")).distinct()
+    return lines.unionByName(footers.select("file_path", "page_id", F.lit(1000000).cast("long").alias("line_no"), number.alias("line")))
+
+
+@query(f"WITH {_PAGED} SELECT * FROM boiler")
+def boilerplate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on half of a file's pages, and its page numbers in all their forms."""
+    return op.boilerplate(_paged(spark, sf_dir))
+
+
+@query(f"""WITH {_PAGED}, kept AS (SELECT * FROM paged p WHERE NOT EXISTS (SELECT 1 FROM boiler x WHERE x.file_path = p.file_path AND x.line = regexp_replace(regexp_replace(p.line, '^\\s+', ''), '\\s+$', '')))
+    SELECT d.doc_id AS page_id, md5(coalesce(string_agg(line, chr(10) ORDER BY line_no), '')) AS digest FROM documents d LEFT JOIN kept ON kept.page_id = d.doc_id GROUP BY d.doc_id""")
+def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text without its file's boilerplate, joined again."""
+    lines = _paged(spark, sf_dir)
+    return op.stripped_texts(lines, op.boilerplate(lines)).select("page_id", F.md5("text").alias("digest"))
