@@ -1,6 +1,6 @@
 """Language-model scores: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Tokens are the words between ASCII white space, A-Z lower-cased, and one end a text. A context of three tokens predicts a
+Tokens are the words between ASCII white space, A-Z lower-cased, and one end a text. A context of two tokens predicts a
 vector, the sum of their vectors times position weights, and the next token is drawn in up to three steps:
 
 1. an output: one of the ``words`` most frequent words (the end among them), or one of ``classes`` classes of all
@@ -11,7 +11,7 @@ vector, the sum of their vectors times position weights, and the next token is d
 Steps 1 and 2 are log-bilinear, with vectors of their own for outputs and slots: a logit is the product of the predicted
 vector with that of the output or slot plus a bias, and batched matrix products, over all outputs and over the slots of
 a class, give normalised log-probabilities. So the probabilities of all words seen and of one unseen word a class sum to
-1, and normalising costs some 500 products a token instead of one a word. In a context each of the ``words`` and
+1, and normalising costs some 400 products a token instead of one a word. In a context each of the ``words`` and
 ``inner`` words has a vector, other words have that of their class.
 
 Corpus statistics come from all training texts: word counts by an aggregate, stored in the shared folder. Training
@@ -38,7 +38,8 @@ from .words import SHORT, Table, distinct_keys, lowered, short_bytes, short_keys
 
 #: The end of a text among the words; no word can hold a space.
 END = " "
-CONTEXT, WIDTH, NOISE, SLOT_NOISE, BATCH = 3, 16, 32, 8, 8192
+CONTEXT, WIDTH, NOISE, SLOT_NOISE, BATCH = 2, 15, 32, 8, 4096
+RATES = (0.05, 0.05)
 ROUNDS = 4  # the hash of a text's id by this: 0 trains in the first round, the others in the second
 #: Tokens whose logits are held at once in scoring: few enough to stay in the processor's cache.
 ROWS = 1024
@@ -151,7 +152,7 @@ def suffix_of(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.nda
     return number
 
 
-def build_vocabulary(counts: DataFrame, *, words: int = 160, classes: int = 96, inner: int = 16_000, frequent: int = 60_000) -> Vocabulary:
+def build_vocabulary(counts: DataFrame, *, words: int = 160, classes: int = 96, inner: int = 8_000, frequent: int = 60_000) -> Vocabulary:
     """From (word, c): three aggregates, of which bounded parts reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.filter(F.col("word") == END).collect()
@@ -240,7 +241,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad on minibatches; only the rows that a batch names change."""
 
-    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, rate: float = 0.1, seed: int = 5):
+    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, rate: float = 0.05, seed: int = 5):
         self.flat, self.rate, self.draw, self.seen = flat.copy(), rate, np.random.default_rng(seed), 0
         self.parts, self.squares = unpack(self.flat, vocabulary), unpack(np.full(len(flat), 1.0, np.float32), vocabulary)
         noise = output_noise(vocabulary)
@@ -372,7 +373,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", te
     flat = initial(vocabulary)
     bound_batches(docs.sparkSession)
     turn = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(ROUNDS))
-    for chosen, rate in ((turn == 0, 0.2), (turn != 0, 0.1)):
+    for chosen, rate in ((turn == 0, RATES[0]), (turn != 0, RATES[1])):
         start = flat
 
         def run(batches, start=start, rate=rate):

@@ -186,11 +186,11 @@ def slow_score(text, vocabulary, flat, words):
     """log10 of a text's probability by the docstring, word by word."""
     contexts, outputs, slots, weights = (x.astype(np.float64) for x in lm_scoring.unpack(flat, vocabulary))
     n, inner, total = vocabulary.words, vocabulary.known[vocabulary.words : vocabulary.words + vocabulary.inner], 0.0
-    symbols, groups = [0] * 3, {}
+    symbols, groups = [0] * lm_scoring.CONTEXT, {}
     for w in inner:
         groups.setdefault(slow_class(w, vocabulary), []).append(w)
     for word in [*(text or "").encode().lower().split(), b" "]:
-        guess = np.append(sum(weights[k] * contexts[symbols[-1 - k]] for k in range(3)), 1.0)
+        guess = np.append(sum(weights[k] * contexts[symbols[-1 - k]] for k in range(lm_scoring.CONTEXT)), 1.0)
         logits = outputs @ guess
         k = slow_class(word, vocabulary)
         own = vocabulary.known.index(word) if word in vocabulary.known[:n] else n + k
