@@ -153,7 +153,7 @@ def snippets(hits: DataFrame, query: str, *, text: str = "text", context_chars:
             inside = [(i, k) for i, k in found if start <= i < start + width]
             score = sum(1000 if k not in {other for _, other in inside[:n]} else 1 for n, (_, k) in enumerate(inside))
             last = inside[-1][0] + len(phrases[inside[-1][1]])
-            centred = inside[0][0] - (width - (last - inside[0][0])) // 2
+            centred = inside[0][0] - int((width - (last - inside[0][0])) / 2)
             return score, max(0, min(centred, len(stems) - width))
 
         best, start = 0, 0
@@ -220,3 +220,58 @@ def best_paragraph(blocks: DataFrame, query: str, *, by: list[str], order: str,
     scored = blocks.filter(F.char_length(tx.strip(F.col(text))) >= min_chars).withColumn("_s", score).filter("_s > 0")
     best = scored.groupBy(*by).agg(F.max_by(F.struct(F.col(order).alias("block"), F.col(text).alias("t")), F.struct(F.col("_s"), -F.col(order))).alias("b"), F.max("_s").alias("score"))
     return best.select(*by, F.col("b.block").alias("block"), "score", F.when(F.char_length("b.t") <= cap, F.col("b.t")).alias("paragraph"))
+
+
+def upgraded_excerpts(matches: DataFrame, blocks: DataFrame, query: str, *, min_chars: int = 80, cap: int = 2000) -> DataFrame:
+    """(page, block, score, excerpt) of matches(page, score, excerpt): each excerpt becomes the block it stands in.
+
+    The first block that holds the excerpt, less its dots, if that block isn't too long; else the block with the most query
+    words. If the choice is shorter than min_chars, the best block of at least as many is taken where there is one. Matches
+    of one block become one, with the best score. Without a block the excerpt stays. matches: a short list;
+    blocks: (page, block, text).
+    """
+    listed = matches.withColumn("fragment", tx.strip(F.replace("excerpt", F.lit("..."), F.lit(""))))
+    wanted = F.broadcast(matches.select(F.col("page").alias("w_page")).distinct())
+    held = blocks.join(wanted, F.col("page") == F.col("w_page")).drop("w_page")
+    b = held.select(F.col("page").alias("b_page"), F.col("block").alias("b_block"), F.col("text").alias("b_text"))
+    inside = F.broadcast(listed.filter("fragment <> ''")).join(b, (F.col("page") == F.col("b_page")) & F.contains("b_text", F.col("fragment")))
+    first = inside.groupBy("page", "fragment").agg(F.min_by(F.struct(F.col("b_block").alias("block"), tx.strip(F.col("b_text")).alias("text")), "b_block").alias("own"))
+    first = first.select(F.col("page").alias("o_page"), F.col("fragment").alias("o_fragment"), F.when(F.char_length("own.text") <= cap, F.col("own")).alias("own"))
+
+    def best(least: int, name: str) -> DataFrame:
+        found = best_paragraph(held, query, by=["page"], order="block", text="text", min_chars=least, cap=cap)
+        return found.select(F.col("page").alias(f"{name}_page"), F.when(F.col("paragraph").isNotNull(), F.struct("block", tx.strip(F.col("paragraph")).alias("text"))).alias(name))
+
+    joined = listed.join(first, (F.col("page") == F.col("o_page")) & (F.col("fragment") == F.col("o_fragment")), "left")
+    joined = joined.join(best(1, "most"), F.col("page") == F.col("most_page"), "left").join(best(min_chars, "long"), F.col("page") == F.col("long_page"), "left")
+    choice = F.coalesce("own", "most")
+    chosen = F.when((F.char_length(choice["text"]) < min_chars) & F.col("long").isNotNull(), F.col("long")).otherwise(choice)
+    placed = joined.withColumn("c", chosen)
+    plain = placed.filter("c IS NULL").select("page", F.lit(None).cast("long").alias("block"), "score", "excerpt")
+    upgraded = placed.filter("c IS NOT NULL").groupBy("page", F.col("c.block").cast("long").alias("block")).agg(F.max("score").alias("score"), F.first("c.text").alias("excerpt"))
+    return upgraded.unionByName(plain)
+
+
+def titled_hits(hits: DataFrame, sections: DataFrame) -> DataFrame:
+    """Section hits (file_path, section_id, title, ...) with the titles as they stand in sections, where these have one: an
+    index that holds texts split into characters gives back split titles."""
+    own = sections.select(F.col("file_path").alias("s_file"), F.col("section_id").alias("s_id"), F.col("title").alias("s_title"))
+    joined = hits.join(own, (F.col("file_path") == F.col("s_file")) & (F.col("section_id") == F.col("s_id")), "left")
+    return joined.select(*[F.coalesce("s_title", "title").alias(c) if c == "title" else F.col(c) for c in hits.columns])
+
+
+def auto_search(docs: DataFrame, query: str, vectors: DataFrame | None, probe: DataFrame | None, *, key: str = "doc_id", k: int = 10, width: int = 30) -> DataFrame:
+    """(key, score, search_mode, reason): keyword and vector ranks fused; where there is no model or it gives no vectors,
+    the keyword ranks alone, and the reason why."""
+    hits = top(bm25(docs, query, key=key), width, key)
+    if vectors is None or probe is None:
+        reason = "no embedding model"
+    elif probe.isEmpty():
+        reason = "the query has no vector"
+    elif vectors.isEmpty():
+        reason = "no page has a vector"
+    else:
+        lists = [ranked(hits, key).select(F.col(key).alias("page"), "rank"), ranked(top(semantic(vectors, probe), width, "vec_id"), "vec_id").select(F.col("vec_id").alias("page"), "rank")]
+        fused = top(fuse(lists[0].unionAll(lists[1])), k, "page", "rrf")
+        return fused.select(F.col("page").alias(key), F.col("rrf").alias("score"), F.lit("hybrid").alias("search_mode"), F.lit(None).cast("string").alias("reason"))
+    return top(hits, k, key).select(key, "score", F.lit("keyword").alias("search_mode"), F.lit(reason).alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -272,13 +272,36 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("page").agg(F.when(F.max("n") * 2 > F.sum("n"), F.max_by("vote", "n")).otherwise("error").alias("verdict"))
 
 
-@query("""WITH p AS (SELECT a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-    SELECT round(min(cos), 4) AS least, round(quantile_cont(cos, 0.1), 4) AS p10, round(median(cos), 4) AS middle, round(avg(cos), 4) AS mean, count(*) AS pairs FROM p""")
+_OTHER = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 16) / 16)"
+_UNIT = "sqrt(list_dot_product({0}, {0}))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS a, {_OTHER} AS b FROM embeddings), p AS (SELECT list_dot_product(a, b) / ({_UNIT.format('a')} * {_UNIT.format('b')}) AS cos FROM v),
+    q AS (SELECT min(vec_id) AS probe FROM v GROUP BY label), s AS (SELECT probe, v.vec_id, list_dot_product(o.a, v.a) / {_UNIT.format('v.a')} AS sa, list_dot_product(o.b, v.b) / {_UNIT.format('v.b')} AS sb FROM q JOIN v o ON o.vec_id = probe, v WHERE v.vec_id <> probe),
+    r AS (SELECT probe, vec_id, row_number() OVER (PARTITION BY probe ORDER BY round(sa, 9) DESC, vec_id) AS ra, row_number() OVER (PARTITION BY probe ORDER BY round(sb, 9) DESC, vec_id) AS rb FROM s), o AS (SELECT probe, count(*) FILTER (ra <= 5 AND rb <= 5) / 5.0 AS overlap FROM r GROUP BY probe)
+    SELECT round(min(cos), 4) AS least, round(quantile_cont(cos, 0.1), 4) AS p10, round(median(cos), 4) AS middle, round(avg(cos), 4) AS mean, count(*) AS vectors, (SELECT round(avg(overlap), 4) FROM o) AS overlap5 FROM p""")
 def embedding_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    after = vectors.select((F.col("vec_id") - 1).alias("b_id"), F.col("embedding").alias("other"))
-    cos = vectors.join(after, F.col("vec_id") == F.col("b_id")).select(se.dot(F.col("embedding"), F.col("other")).alias("cos"))
-    return cos.agg(F.round(F.min("cos"), 4).alias("least"), F.round(F.percentile("cos", 0.1), 4).alias("p10"), F.round(F.percentile("cos", 0.5), 4).alias("middle"), F.round(F.avg("cos"), 4).alias("mean"), F.count("*").alias("pairs"))
+    """Two backends, the second one with coarser numbers: how alike a text's vectors are, and how many of the five nearest
+    vectors of each label's first vector are the same."""
+    other = F.transform("embedding", lambda x: F.floor(x.cast("double") * 16) / 16)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("a"), other.alias("b"))
+
+    def length(c: str) -> Column:
+        return F.sqrt(se.dot(F.col(c), F.col(c)))
+
+    cos = vectors.select((se.dot(F.col("a"), F.col("b")) / (length("a") * length("b"))).alias("cos"))
+    facts = cos.agg(F.round(F.min("cos"), 4).alias("least"), F.round(F.percentile("cos", 0.1), 4).alias("p10"), F.round(F.percentile("cos", 0.5), 4).alias("middle"), F.round(F.avg("cos"), 4).alias("mean"), F.count("*").alias("vectors"))
+    first = vectors.groupBy("label").agg(F.min_by(F.struct("vec_id", "a", "b"), "vec_id").alias("p")).select(F.col("p.vec_id").alias("probe"), F.col("p.a").alias("pa"), F.col("p.b").alias("pb"))
+    pairs = vectors.join(F.broadcast(first), F.col("vec_id") != F.col("probe"))  # the probes are one a label, a stated set against all rows
+    scored = pairs.select("probe", "vec_id", (se.dot(F.col("pa"), F.col("a")) / length("a")).alias("sa"), (se.dot(F.col("pb"), F.col("b")) / length("b")).alias("sb"))
+
+    def nearest(score: str, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.round(score, 9).desc(), "vec_id"))
+        return scored.select("probe", "vec_id", score).withColumn("r", rank).filter("r <= 5").select(F.col("probe").alias(f"{name}_probe"), F.col("vec_id").alias(f"{name}_id"))
+
+    x, y = nearest("sa", "x"), nearest("sb", "y")
+    shared = x.join(y, (F.col("x_probe") == F.col("y_probe")) & (F.col("x_id") == F.col("y_id")), "left").groupBy("x_probe").agg((F.count("y_id") / 5.0).alias("overlap"))
+    return facts.join(F.broadcast(shared.agg(F.round(F.avg("overlap"), 4).alias("overlap5"))), how="cross")
 
 
 ORDERS = Literal("id long, got string, want string", (0, "one two three four", "one two three four"), (1, "three four one two", "one two three four"), (2, "", "x"), (3, "a b c", "a c b"))

@@ -241,3 +241,53 @@ ROUTED = Literal("id long, q string", (0, "GPT-4"), (1, "how does attention work
 @query(f"WITH {ROUTED.cte('t')} SELECT id, CASE WHEN regexp_matches(q, '[A-Z0-9\\-]{{4,}}') THEN 'keyword' ELSE 'semantic' END AS route FROM t")
 def route_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ROUTED.df(spark).select("id", route(F.col("q")).alias("route"))
+
+
+_BLOCK_SCORE = "(contains(lower(line), 'estion')::INT + contains(lower(line), 'thintion')::INT)"
+
+
+@query(f"""WITH {ad.LINES_SQL}, {_bm25_sql("documents", "doc_id")}, m AS (SELECT page_id, score, trim(substr(text, greatest(instr(lower(text), 'estion') - 10, 1), 40), E' \t\n\r\f\x0b') AS fragment FROM (SELECT doc_id AS page_id, bm25.score, text FROM bm25 JOIN documents USING (doc_id) WHERE bm25.score > 0 ORDER BY round(bm25.score, 9) DESC, doc_id LIMIT 20)),
+    l AS (SELECT page_id, line_no AS block, line, regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '') AS bare, {_BLOCK_SCORE} AS hits FROM lines WHERE page_id IN (SELECT page_id FROM m)),
+    own AS (SELECT page_id, arg_min(block, block) AS block, arg_min(bare, block) AS bare FROM (SELECT m.page_id, l.block, l.bare FROM m JOIN l ON l.page_id = m.page_id AND contains(l.line, m.fragment) WHERE m.fragment <> '') GROUP BY page_id),
+    most AS (SELECT page_id, block, line, bare FROM l WHERE hits > 0 AND length(bare) >= 1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hits DESC, block) = 1),
+    long AS (SELECT page_id, block, line, bare FROM l WHERE hits > 0 AND length(bare) >= 80 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hits DESC, block) = 1),
+    c AS (SELECT m.page_id, round(m.score, 4) AS score, fragment, CASE WHEN length(own.bare) <= 2000 THEN own.block WHEN length(most.line) <= 2000 THEN most.block END AS b1, CASE WHEN length(own.bare) <= 2000 THEN own.bare WHEN length(most.line) <= 2000 THEN most.bare END AS t1,
+      CASE WHEN length(long.line) <= 2000 THEN long.block END AS b2, CASE WHEN length(long.line) <= 2000 THEN long.bare END AS t2 FROM m LEFT JOIN own ON own.page_id = m.page_id LEFT JOIN most ON most.page_id = m.page_id LEFT JOIN long ON long.page_id = m.page_id)
+    SELECT page_id, CAST(CASE WHEN length(t1) < 80 AND b2 IS NOT NULL THEN b2 ELSE b1 END AS BIGINT) AS block, score, md5(coalesce(CASE WHEN length(t1) < 80 AND b2 IS NOT NULL THEN t2 ELSE t1 END, '...' || fragment || '...')) AS digest FROM c""")
+def excerpt_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 pages' excerpts, 40 characters around the first hit, replaced by the blocks they stand in."""
+    docs = table(spark, sf_dir, "documents")
+    hits = _keyword(spark, sf_dir, 20)
+    at = F.greatest(F.instr(F.lower("text"), F.lit("estion")) - 10, F.lit(1))
+    texts = docs.select(F.col("doc_id").alias("page"), "text").join(F.broadcast(hits), F.col("page") == F.col("doc_id"))
+    matches = texts.select("page", "score", F.concat(F.lit("..."), tx.strip(F.substring(F.col("text"), at, F.lit(40))), F.lit("...")).alias("excerpt"))
+    blocks = ad.page_lines(docs).select(F.col("page_id").alias("page"), F.col("line_no").cast("long").alias("block"), F.col("line").alias("text"))
+    found = op.upgraded_excerpts(matches, blocks, QUERY)
+    return found.select(F.col("page").alias("page_id"), "block", F.round("score", 4).alias("score"), F.md5("excerpt").alias("digest"))
+
+
+CJK_SECTIONS = Literal("file_path string, section_id long, title string, body string", ("a", 0, "機械学習 入門", "基礎の説明"), ("a", 1, "応用", "機械学習の応用例"), ("b", 0, None, "機械学習だけ"), ("b", 1, "別の話", "関係ない"))
+
+
+@query(f"WITH {CJK_SECTIONS.cte('t')} SELECT file_path, section_id, title FROM t WHERE contains(coalesce(title || ' ', '') || body, '機械学習')")
+def cjk_section_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections found in an index of split characters, shown with the titles that they have."""
+    sections = CJK_SECTIONS.df(spark)
+    index = sections.select("file_path", "section_id", tx.cjk_split(F.coalesce("title", F.lit(""))).alias("title"), tx.cjk_split(F.concat_ws(" ", "title", "body")).alias("split"))
+    hits = index.filter(F.contains(F.concat(F.lit(" "), F.col("split"), F.lit(" ")), F.lit(" 機 械 学 習 "))).select("file_path", "section_id", F.when(F.col("title") != "", F.col("title")).alias("title"))
+    return op.titled_hits(hits, sections)
+
+
+@query(f"""WITH {_ARMS}, f AS (SELECT coalesce(kw.page, sem.page) AS page, coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) AS score FROM kw FULL JOIN sem ON kw.page = sem.page ORDER BY round(coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0), 9) DESC, 1 LIMIT 10), t AS (SELECT page, score FROM kw ORDER BY rank LIMIT 10)
+    SELECT 'all' AS given, page AS page_id, round(score, 4) AS score, 'hybrid' AS search_mode, NULL AS reason FROM f UNION ALL SELECT 'no model', page, round(score, 4), 'keyword', 'no embedding model' FROM t
+    UNION ALL SELECT 'no vectors', page, round(score, 4), 'keyword', 'no page has a vector' FROM t UNION ALL SELECT 'no probe', page, round(score, 4), 'keyword', 'the query has no vector' FROM t""")
+def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search with all it needs, and without a model, without vectors, without a vector for the query."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    probe = vectors.filter(F.col("vec_id") == PROBE)
+    cases = {"all": (vectors, probe), "no model": (None, None), "no vectors": (vectors.limit(0), probe), "no probe": (vectors, probe.limit(0))}
+    whole = None
+    for name, given in cases.items():
+        found = op.auto_search(docs, QUERY, *given).select(F.lit(name).alias("given"), F.col("doc_id").alias("page_id"), F.round("score", 4).alias("score"), "search_mode", "reason")
+        whole = found if whole is None else whole.unionAll(found)
+    return whole
