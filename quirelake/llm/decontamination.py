@@ -11,13 +11,14 @@ document, as in the containment form of MinHash: a signature of the document its
 since the Jaccard similarity of a short item and a long document tends to zero. Documents with fewer shingles than
 the item's share are passed over. Candidates are then verified on the shingles themselves, not their hashes.
 
-Only DataFrame functions are used. The sketches are broadcast while their number is within ``broadcast_rows``, and
-joined by a shuffle beyond it; documents are exploded to hashes and never gathered.
+Only DataFrame functions are used. The sketches and the candidate pairs, 16 bytes a row, are broadcast while their number
+is within ``broadcast_rows``, the items' shingles while their texts are within ``broadcast_bytes``; beyond that they are
+joined by a shuffle. Documents are exploded to hashes and never gathered.
 
 Defined results: null or wordless texts and items have no shingles and match nothing; an item or document with
 fewer words than a shingle has one, all its words, which only an equally short document can hold; repeated items and
-rows give one row for a pair of ids, with the highest containment; null ids are kept as ids; empty tables give no
-rows; further columns are ignored.
+rows give one row for a pair of ids, with the highest containment; very long documents are read whole; null ids are kept
+as ids; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Sketch rows (16 bytes each before overhead) up to which the sketches are broadcast, and candidates likewise.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of the items' texts up to which their shingles, some five times as many, are broadcast.
+BROADCAST_BYTES = 1 << 23
 
 
 def words(text: Column) -> Column:
@@ -69,16 +72,16 @@ def candidates(docs: DataFrame, sketch: DataFrame, *, id_col: str = "doc_id", te
     return joined.filter(F.col("n") >= F.col("least")).select("doc", "item").distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, item, containment) of every pair at or above the threshold."""
     bound_batches(docs.sparkSession)
     sketch = checkpoint(sketches(items, id_col=item_col, text_col=text_col, threshold=threshold))
     found = checkpoint(candidates(docs, sketch, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows), narrow_files(docs))
     parts = items.select(F.col(item_col).alias("item_"), F.array_distinct(shingles(F.col(text_col))).alias("item_shingles")).filter(F.size("item_shingles") > 0)
-    pairs = found.join(parts, F.col("item").eqNullSafe(F.col("item_"))).select("doc", "item", "item_shingles")
-    pairs = bounded_broadcast(pairs, found.count(), broadcast_rows // 50)  # with the shingles a row is some 50 times wider
+    size = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    pairs = bounded_broadcast(found, found.count(), broadcast_rows)
     texts = docs.select(F.col(id_col).alias("doc_"), F.col(text_col).alias("text_"))
-    held = texts.join(pairs, F.col("doc_").eqNullSafe(F.col("doc"))).select("doc", "item", "item_shingles", "text_")
+    held = texts.join(pairs, F.col("doc_").eqNullSafe(F.col("doc"))).join(bounded_broadcast(parts, size, broadcast_bytes), F.col("item").eqNullSafe(F.col("item_")))
     share = F.size(F.array_intersect("item_shingles", shingles(F.col("text_")))) / F.size("item_shingles")
     exact = held.select("doc", "item", share.alias("containment")).filter(F.col("containment") >= threshold - 1e-9)
     return exact.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("containment").alias("containment"))

@@ -1,16 +1,18 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
-Writing: rows are grouped by the digest of their payload; of equal payloads of at least ``revisit_bytes`` the row with
-the smallest id becomes a response record, the others revisit records that point at it. A task writes a .warc.gz file
-with one gzip member a record, under its final name only when whole.
+Writing: of equal payloads of at least ``revisit_bytes`` the row with the smallest id becomes a response record, the others
+revisit records that point at it. Only (digest, id) pairs are grouped; the digests that occur more than once are kept, and
+broadcast to the rows while they are at most ``broadcast_rows``, so that payloads aren't shuffled whatever digest is hot;
+beyond that the join shuffles, and Spark splits its hot keys. A task writes a .warc.gz file with one gzip member a record,
+under its final name only when whole.
 
 Reading: files are cut into byte ranges, a task a range, whatever records lie where. A task scans its range for the
 gzip magic number, validates each candidate by inflating its first bytes to a WARC header, then inflates the whole
 member with its checksum, and owns the records whose member starts inside the range; the last one may end beyond it.
 After a member the next starts at once, so scanning is needed only at the front of a range and past damage.
 
-Defined results: a null payload counts as empty; payloads under revisit_bytes are always responses; of equal rows one
-becomes the response; a null id is written as such and is the smallest only among nulls; an empty table writes no
+Defined results: a null payload counts as empty, a very long one is a record like any other; payloads under revisit_bytes
+are always responses; of rows equal in payload and id one, with the first url, becomes the response; a null id is written as such and is the smallest only among nulls; an empty table writes no
 files and reads no rows; further columns are ignored.
 """
 
@@ -23,8 +25,9 @@ import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bound_batches, checkpoint, open_fs, publish, scratch_dir
+from .common import bound_batches, bounded_broadcast, checkpoint, narrow_files, open_fs, publish, scratch_dir
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n")
@@ -119,19 +122,26 @@ def _inflate(source, at: int, size: int) -> tuple[int, bytes]:
         return 0, b""
 
 
-def assign_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0) -> DataFrame:
-    """(id, url, payload, refers_to): refers_to is set for the rows that revisit another.
-
-    Only (digest, id) pairs are grouped; the join to the rows is by digest, whose hot values Spark splits.
-    """
+def assign_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, broadcast_rows: int = 500_000) -> DataFrame:
+    """(id, url, payload, revisit, refers_to): refers_to is set for the rows that revisit another."""
+    bound_batches(pages.sparkSession)
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    digest = F.when(F.octet_length("payload") >= revisit_bytes, F.sha1(F.col("payload").cast("binary")))
-    base = base.withColumn("digest", digest).withColumn("row", F.monotonically_increasing_id())
-    first = base.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select(F.col("digest").alias("d"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
-    joined = base.join(first, F.col("digest") == F.col("d"), "left")
-    later = F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
-    return joined.select("id", "url", "payload", later.alias("revisit"), F.when(later, F.col("first_id")).alias("refers_to"))
+    # Short payloads have a key of their own that no group has, and don't meet in one task.
+    digest = F.when(F.octet_length("payload") >= revisit_bytes, F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    base = base.withColumn("digest", F.coalesce(digest, F.concat(F.lit("-"), F.xxhash64("id", "payload").cast("string")).cast("binary"))).withColumn("long", digest.isNotNull())
+    counts = base.filter("long").groupBy("digest", "id").agg(F.count("*").alias("c"))
+    first = counts.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "c")).alias("f"), F.sum("c").alias("n")).filter("n > 1")
+    first = checkpoint(first.select(F.col("digest").alias("d"), F.col("f.id").alias("first_id"), F.col("f.c").alias("same")), narrow_files(pages))
+    joined = base.join(bounded_broadcast(first, first.count(), broadcast_rows), F.col("digest") == F.col("d"), "left")
+    later = F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
+    columns = ["id", "url", "payload", "revisit", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to")]
+    if first.filter("same > 1").isEmpty():
+        return joined.withColumn("revisit", later).select(*columns)
+    # Rows of one payload and id: all but one revisit it.
+    tied = F.coalesce(F.col("same") > 1, F.lit(False)) & ~later
+    number = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+    apart = joined.filter(~tied).withColumn("revisit", later).select(*columns)
+    return apart.unionByName(joined.filter(tied).withColumn("revisit", number > 1).select(*columns))
 
 
 def write_archives(assigned: DataFrame, uri: str) -> DataFrame:
