@@ -14,8 +14,9 @@ The loss mask covers the texts of assistant turns as spans [start, stop) of code
 Only DataFrame functions are used; a conversation's turns are gathered by one aggregate.
 
 Defined results: a null text or role counts as empty; turns of equal number are ordered by role and text, null
-numbers first; repeated rows are turns of their own; rows with a null conversation id form one conversation; an empty
-table gives no rows; further columns are ignored.
+numbers first; repeated rows are turns of their own; a row with a null conversation id is a conversation of its own, since
+nothing says which belong together; very long texts are kept whole; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +81,9 @@ def parse(formatted: Column) -> Column:
 def conversations(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turns): the turns of every conversation in order, as an array of (role, text)."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gathered = rows.select(F.col(id_col).alias("conv"), turn.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("sorted"))
+    turns = rows.select(F.col(id_col).alias("conv"), turn.alias("t"))
+    gathered = turns.filter("conv IS NOT NULL").groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("sorted"))
+    gathered = gathered.unionByName(turns.filter("conv IS NULL").select("conv", F.array("t").alias("sorted")))
     return gathered.select("conv", F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

@@ -6,6 +6,7 @@ import os
 import re
 import sys
 import tempfile
+import time
 import types
 import uuid
 from urllib.parse import urlparse
@@ -161,3 +162,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     uri = scratch_dir(df.sparkSession, label)
     df.write.parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete what operators left in the shared folder and nothing has written to for so long; returns how many folders.
+
+    Tables, shards and archives stay when a job ends, since a DataFrame that it returned may still read them.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    filesystem = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, before = 0, time.time() * 1000 - hours * 3_600_000
+    for status in filesystem.listStatus(folder) if filesystem.exists(folder) else ():
+        own = re.fullmatch(r"[a-z]+(-[a-z]+)*-[0-9a-f]{32}", status.getPath().getName())
+        if own and status.isDirectory() and status.getModificationTime() < before:
+            found += bool(filesystem.delete(status.getPath(), True))
+    return found

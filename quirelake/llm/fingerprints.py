@@ -79,12 +79,13 @@ def _sample(i: int) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, signature) from (keys, text): an array of `samples` numbers under 2**32 for every key."""
+    """(keys, signature) from (keys, text): an array of `samples` numbers of 32 bits for every key."""
     table = F.broadcast(gamma_table(texts.sparkSession))  # one row of 1 MB, whatever the input
     terms = texts.select(*keys, F.inline_outer(weighted_terms(F.col("text")))).withColumn("zero", F.lit(0))
     drawn = terms.join(table, F.col("zero") == F.col("one"))
     least = drawn.groupBy(*keys).agg(*[_sample(i).alias(f"m{i}") for i in range(samples)])
-    return least.select(*keys, F.array(*[F.coalesce(F.col(f"m{i}").bitwiseAND(F.lit(_LOW32)), F.lit(_LOW32)) for i in range(samples)]).alias("signature"))
+    # The low 32 bits, as a signed int; without terms all of them are set.
+    return least.select(*keys, F.array(*[F.coalesce(F.shiftright(F.shiftleft(F.col(f"m{i}"), 32), 32), F.lit(-1)).cast("int") for i in range(samples)]).alias("signature"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -92,7 +93,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def as_hex(signature: Column) -> Column:
-    return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(_LOW32)))), 8, "0")), "")
 
 
 def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

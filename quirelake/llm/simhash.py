@@ -14,7 +14,8 @@ tasks and alternating star contractions across them, with a checkpoint a round.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle
 make one shingle of all of them; repeated rows each get a row; a null id is kept, and counts for a component's
-smallest id only if it has no other; an empty table gives no rows; further columns are ignored.
+smallest id only if it has no other; very long texts are read whole; an empty table gives no rows; further columns are
+ignored, and keep_one() passes them on whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ regression is then fitted on the scaled features with L-BFGS in numpy, with both
 The fit is on a bounded sample of labelled rows: at most ``per_class`` of each class, chosen by a hash of the id.
 Scoring streams Arrow batches through numpy; nothing of the corpus is gathered.
 
-Defined results: a null text counts as empty and scores the intercept; repeated rows each get a row; ids may be null;
+Defined results: a null text counts as empty and scores the intercept; very long texts are read whole; repeated rows each
+get a row; ids may be null;
 conflicting labels of one id count as toxic; without labelled rows of both classes every score is 0.0; an empty
 table gives no rows. Columns beyond the id and the text are ignored.
 """

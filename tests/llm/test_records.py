@@ -192,3 +192,62 @@ def test_chat_round_trip(spark):
         spans = [r.formatted[s.start : s.stop] for s in r.loss_spans]
         assert [s.replace("&lt;", "<").replace("&lsb;", "[").replace("&nl;", "\n").replace("&amp;", "&") for s in spans] == texts
     assert chat.digests(chat.format_conversations(table.limit(0))).count() == 0
+
+
+def test_clashing_columns_and_string_ids(spark):
+    """Columns with the names that helpers use, and ids that are texts."""
+    from quirelake.llm import decontamination, resemblance, simhash
+
+    rows = [("a", "one two three four five six seven", "s", 1), ("b", "one two three four five six seven", "s", 2), ("", "other words entirely here and there now", "t", 3), (None, "x " * 50, "t", 4)]
+    names = ["doc_id", "text", "source", "row"]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, row long").selectExpr(*names, *[f"{k} AS `{n}`" for k, n in enumerate(("id", "digest", "m_id", "n", "k_id", "_bad_id", "item", "fp", "copies", "part", "key", "component", "m_sum"))])
+    for find in (simhash.near_duplicates, resemblance.near_duplicates):
+        kept = simhash.keep_one(docs, find=find)
+        assert kept.columns == docs.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, ("a", "", None)))
+    items = spark.createDataFrame([("i", "words entirely here and there now")], "item_id string, text string")
+    clean = decontamination.remove_contaminated(docs, items)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {"a", "b", None}
+    mixed = mixing.mix(docs)
+    out = mixing.repeat_by_mix(docs, mixed)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in mixed.collect())
+
+
+def test_long_texts(spark):
+    from quirelake.llm import sstable, toxicity
+    from quirelake.llm.queries import tokenizer_path
+
+    text = "some rather long words " * 40_000
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, text + "x" * 200_000)], "doc_id long, text string")
+    sizes = {r.doc_id: r.n_tokens for r in sstable.token_table(docs, tokenizer_path()).collect()}
+    assert sizes[1] > 160_000 and sizes[3] > sizes[1]
+    model = toxicity.fit_rows(["good day", "bad idiot"] * 5, [0, 1] * 5)
+    assert len(toxicity.score(docs, model).collect()) == 3
+    html = spark.createDataFrame([(1, "u", text), (2, "v", text)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive_round_trip(html).collect()}
+    assert got[1].record_type == "response" and got[2].refers_to == 1 and got[2].payload_bytes == len(text)
+
+
+def test_equal_pages_have_one_response(spark):
+    rows = [(1, "b", "same"), (1, "a", "same"), (2, "c", "same"), (None, "d", "same"), (None, "e", "lone"), (None, "f", "lone"), (3, "g", None), (4, "h", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (10**6, 0):  # broadcast, and the shuffle beyond the size check
+        got = warc.assign_revisits(pages, broadcast_rows=limit).collect()
+        assert sorted((r.url, r.revisit, r.refers_to) for r in got) == [("a", False, None), ("b", True, 1), ("c", True, 1), ("d", True, 1), ("e", False, None), ("f", True, None), ("g", False, None), ("h", True, 3)]
+    short = warc.assign_revisits(pages, revisit_bytes=5).collect()
+    assert len(short) == len(rows) and not any(r.revisit for r in short)
+
+
+def test_sweep(spark):
+    from quirelake.llm.common import stored, sweep
+
+    table = stored(spark.range(3), "swept")
+    assert table.count() == 3
+    sweep(spark, 1.0)
+    assert table.count() == 3
+    assert sweep(spark, -1.0) >= 1
+
+
+def test_rows_without_a_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id is None, r.n_turns) for r in got) == [(False, 1), (True, 1), (True, 1), (True, 1)]
