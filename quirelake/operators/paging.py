@@ -22,26 +22,43 @@ def parse_page_ranges(requests: DataFrame, *, key: str, spec: str, total: str) -
     return first.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).cast("long").alias("ord"), "page")
 
 
+def _reached(sized: DataFrame, by: str, order: str, cap: int, span: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(parts that may lie within the cap, parts that can't) of sized(by, order, size), `order` being a number.
+
+    Sizes are summed by spans of the order before any row is sorted, so that of a long file only the spans up to the one
+    in which the cap is passed meet in a task.
+    """
+    spanned = sized.withColumn("span", F.floor(F.col(order) / span))
+    sums = spanned.groupBy(by, "span").agg(F.sum("size").alias("span_size"))
+    before = F.coalesce(F.sum("span_size").over(Window.partitionBy(by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sums.withColumn("before", before).filter(F.col("before") <= cap).select(F.col(by).alias("n_by"), F.col("span").alias("n_span"))
+    same = F.col(by).eqNullSafe(F.col("n_by")) & (F.col("span") == F.col("n_span"))
+    return spanned.join(near, same, "left_semi").drop("span"), spanned.join(near, same, "left_anti").drop("span")
+
+
 def byte_cap(parts: DataFrame, *, by: str, order: str, size: Column, cap: int, separator: int = 2) -> DataFrame:
-    """(by, order, running, kept): whole parts while the running bytes stay within the cap; the first overflow stops.
+    """(by, order, size, running, kept): whole parts while the running bytes stay within the cap; the first overflow stops.
 
-    The separator counts for a part that something non-empty precedes. Only sizes are windowed, never texts.
+    The separator counts for a part that something non-empty precedes. Far beyond the cap `running` is null.
     """
     before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = parts.select(by, order, size.cast("long").alias("size"))
+    near, far = _reached(parts.select(by, order, size.cast("long").alias("size")), by, order, cap)
     # A separator stands before every part that follows the first non-empty one.
     something = F.coalesce(F.sum("size").over(before), F.lit(0)) > 0
-    running = F.sum("cost").over(upto)
-    costed = sized.withColumn("cost", F.col("size") + F.when(something, separator).otherwise(0)).withColumn("running", running)
-    return costed.select(by, order, "size", "running", (F.col("running") <= cap).alias("fits")).withColumn("kept", F.bool_and("fits").over(upto)).drop("fits")
+    costed = near.withColumn("cost", F.col("size") + F.when(something, separator).otherwise(0)).withColumn("running", F.sum("cost").over(upto))
+    settled = costed.withColumn("kept", F.bool_and(F.col("running") <= cap).over(upto)).select(by, order, "size", "running", "kept")
+    return settled.unionByName(far.select(by, order, "size", F.lit(None).cast("long").alias("running"), F.lit(False).alias("kept")))
 
 
 def first_kept_cap(parts: DataFrame, *, by: str, order: str, cost: Column, cap: int) -> DataFrame:
     """As byte_cap without separators, but the first part is always kept."""
     upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = parts.select(by, order, cost.cast("long").alias("cost")).withColumn("running", F.sum("cost").over(upto))
-    return running.withColumn("kept", (F.row_number().over(Window.partitionBy(by).orderBy(order)) == 1) | F.bool_and(F.col("running") <= cap).over(upto))
+    near, far = _reached(parts.select(by, order, cost.cast("long").alias("size")), by, order, cap)
+    running = near.withColumn("running", F.sum("size").over(upto))
+    kept = (F.row_number().over(Window.partitionBy(by).orderBy(order)) == 1) | F.bool_and(F.col("running") <= cap).over(upto)
+    settled = running.withColumn("kept", kept).select(by, order, "size", "running", "kept")
+    return settled.unionByName(far.select(by, order, "size", F.lit(None).cast("long").alias("running"), F.lit(False).alias("kept")))
 
 
 def read_window(start: int, total: Column, max_pages: int = 50) -> Column:
