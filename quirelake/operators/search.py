@@ -199,10 +199,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def semantic(vectors: DataFrame, probe: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, score): dot products with the one vector of probe."""
+def candidate_width(max_results: int) -> int:
+    """How many hits of each list are fused for so many results."""
+    return min(3 * max_results, 100)
+
+
+def semantic(vectors: DataFrame, probe: DataFrame, *, key: str = "vec_id", vector: str = "embedding", normalise: bool = False) -> DataFrame:
+    """(key, score): dot products with the one vector of probe; of vectors brought to length 1 first, if asked for."""
     one = F.broadcast(probe.select(F.col(vector).alias("_probe")))
-    return vectors.join(one, how="cross").select(key, dot(F.col(vector), F.col("_probe")).alias("score"))
+    score = dot(F.col(vector), F.col("_probe"))
+    if normalise:
+        length = F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("_probe"), F.col("_probe")))
+        score = F.when(length > 0, score / length).otherwise(0.0)
+    return vectors.join(one, how="cross").select(key, score.alias("score"))
 
 
 def fuse(lists: DataFrame, *, by: list[str] | None = None, key: str = "page", k: int = RRF_K) -> DataFrame:

@@ -67,15 +67,12 @@ def metadata(fields: Column) -> list[Column]:
 
 
 def toc_entries(toc: DataFrame, *, file: str = "file_path", order: str = "ord", inline: int = TOC_INLINE) -> DataFrame:
-    """(file, toc, entries, truncated): the first entries as (level, title, page) in order, and how many there are.
-
-    Only entries that are given come together, whatever the length of the table.
-    """
-    first = toc.filter(F.col(order) < inline)
-    listed = first.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "level", "title", "page"))).alias("e"))
+    """(file, toc, entries): the entries as (level, title, page) in order, given only if there are at most ``inline``, and how
+    many there are. No more than that come together, whatever the length of a table."""
+    listed = toc.filter(F.col(order) < inline).groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "level", "title", "page"))).alias("e"))
     counts = toc.groupBy(F.col(file).alias("c_file")).agg(F.count("*").alias("entries"))
     entries = F.transform("e", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))
-    return counts.join(listed, F.col("c_file") == F.col(file), "left").select(F.col("c_file").alias(file), entries.alias("toc"), "entries", (F.col("entries") > inline).alias("truncated"))
+    return counts.join(listed, F.col("c_file") == F.col(file), "left").select(F.col("c_file").alias(file), F.when(F.col("entries") <= inline, entries).alias("toc"), "entries")
 
 
 def basename(path: Column) -> Column:
@@ -118,3 +115,23 @@ def listed_spans(spans: DataFrame, *, file: str = "file_path", order: list[str],
 def clamped(value: Column, field: str) -> Column:
     low, high = LIMITS[field]
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def cache_through(wanted: DataFrame, cached: DataFrame, compute, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows of all wanted keys, those among them that had to be computed and are to be stored).
+
+    compute: from a table of keys to rows of cached's columns; it sees only the keys that aren't stored.
+    """
+    keys = wanted.select(key).distinct()
+    fresh = compute(keys.join(cached.select(key), key, "left_anti")).select(*cached.columns)
+    return cached.join(keys, key, "left_semi").unionByName(fresh), fresh
+
+
+def index_pages(pages: DataFrame, tokens: Column, key: str = "page_id") -> DataFrame:
+    """(key, word, tf): the inverted index of pages."""
+    return pages.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+
+
+def update_index(index: DataFrame, pages: DataFrame, tokens: Column, key: str = "page_id") -> DataFrame:
+    """The index after pages were written again: all of their old entries go, also for words they no longer have."""
+    return index.join(pages.select(key).distinct(), key, "left_anti").unionByName(index_pages(pages, tokens, key))

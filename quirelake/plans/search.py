@@ -59,7 +59,7 @@ _ARMS = f"""{_bm25_sql("documents", "doc_id")},
     sem AS (SELECT vec_id AS page, {_DOT} AS score, row_number() OVER (ORDER BY round({_DOT}, 9) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 30)"""
 
 
-def _arms(spark: SparkSession, sf_dir: str, width: int = 30) -> DataFrame:
+def _arms(spark: SparkSession, sf_dir: str, width: int = op.candidate_width(10)) -> DataFrame:
     """(arm, page, score, rank) of both arms, each cut to its candidates."""
     kw = op.ranked(_keyword(spark, sf_dir, width), "doc_id").select(F.lit("keyword").alias("arm"), F.col("doc_id").alias("page"), "score", "rank")
     sem = op.ranked(op.top(_semantic(spark, sf_dir), width, "vec_id"), "vec_id").select(F.lit("semantic").alias("arm"), F.col("vec_id").alias("page"), "score", "rank")
@@ -291,3 +291,31 @@ def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = op.auto_search(docs, QUERY, *given).select(F.lit(name).alias("given"), F.col("doc_id").alias("page_id"), F.round("score", 4).alias("score"), "search_mode", "reason")
         whole = found if whole is None else whole.unionAll(found)
     return whole
+
+
+_LONGER = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 3))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_LONGER} AS e FROM embeddings), s AS (SELECT v.vec_id, list_dot_product(v.e, p.e) / sqrt(list_dot_product(v.e, v.e) * list_dot_product(p.e, p.e)) AS score FROM v, (SELECT e FROM v WHERE vec_id = {PROBE}) p ORDER BY round(score, 9) DESC, vec_id LIMIT 10)
+    SELECT vec_id AS page_id, round(score, 4) AS score, substr(text, 1, 200) AS excerpt FROM s LEFT JOIN documents ON doc_id = vec_id""")
+def semantic_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of any length, brought to length 1; a hit's excerpt is the start of its page."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3)).alias("embedding"))
+    hits = op.top(op.semantic(vectors, vectors.filter(F.col("vec_id") == PROBE), normalise=True), 10, "vec_id")
+    starts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.substring("text", 1, 200).alias("excerpt"))
+    return F.broadcast(hits).join(starts, F.col("vec_id") == F.col("d"), "left").select(F.col("vec_id").alias("page_id"), F.round("score", 4).alias("score"), "excerpt")
+
+
+@query(f"""WITH {_ARMS}, f AS (SELECT coalesce(kw.page, sem.page) AS page, kw.page IS NOT NULL AS hit, coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) AS rrf FROM kw FULL JOIN sem ON kw.page = sem.page ORDER BY round(rrf, 9) DESC, 1 LIMIT 10)
+    SELECT page AS page_id, round(rrf, 4) AS rrf, CASE WHEN hit THEN substr(text, greatest(least(CASE WHEN instr(lower(text), 'estion') > 0 THEN instr(lower(text), 'estion') ELSE 100000 END, CASE WHEN instr(lower(text), 'thintion') > 0 THEN instr(lower(text), 'thintion') ELSE 100000 END) - 20, 1), 60) ELSE substr(text, 1, 60) END AS excerpt FROM f LEFT JOIN documents ON doc_id = page""")
+def hybrid_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused hits: the text around the first query word where keywords found the page, else its start."""
+    arms = _arms(spark, sf_dir)
+    fused = arms.groupBy("page").agg(F.sum(1.0 / (op.RRF_K + F.col("rank"))).alias("rrf"), F.bool_or(F.col("arm") == "keyword").alias("hit"))
+    best = op.top(fused, 10, "page", "rrf")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "text")
+    low = F.lower("text")
+    first = F.least(*[F.when(F.instr(low, F.lit(w)) > 0, F.instr(low, F.lit(w))).otherwise(100000) for w in QUERY.split()])
+    around = F.substring(F.col("text"), F.greatest(first - 20, F.lit(1)), F.lit(60))
+    joined = F.broadcast(best).join(texts, F.col("page") == F.col("d"), "left")
+    return joined.select(F.col("page").alias("page_id"), F.round("rrf", 4).alias("rrf"), F.when(F.col("hit"), around).otherwise(F.substring("text", 1, 60)).alias("excerpt"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import settings
+from ..functions import text as tx
 from ..operators import upkeep as op
 from ..sources import adapters as ad
+from .access import allowed
 from .registry import Literal, query, table
 
 NOW = "2024-01-30 12:00:00"
@@ -87,14 +90,14 @@ def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *op.metadata(raw))
 
 
-@query(f"""WITH {ad.PAGES_SQL}, t AS (SELECT file_path, page_num AS ord, 1 + page_num % 3 AS level, string_split(text, ' ')[1] AS title, page_num + 1 AS page FROM pages WHERE page_num < 60)
-    SELECT file_path, CAST(sum(level) FILTER (ord < 50) AS BIGINT) AS levels, string_agg(title || '@' || page, ',' ORDER BY ord) FILTER (ord < 50) AS listed, count(*) AS entries, count(*) > 50 AS truncated FROM t GROUP BY file_path""")
+@query(f"""WITH {ad.PAGES_SQL}, t AS (SELECT file_path, page_num AS ord, 1 + page_num % 3 AS level, string_split(text, ' ')[1] AS title, page_num + 1 AS page FROM pages WHERE page_num < 40 + length(file_path) * 4)
+    SELECT file_path, CASE WHEN count(*) <= 50 THEN CAST(sum(level) AS BIGINT) END AS levels, CASE WHEN count(*) <= 50 THEN string_agg(title || '@' || page, ',' ORDER BY ord) END AS listed, count(*) AS entries FROM t GROUP BY file_path""")
 def toc_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first word of each of a file's first 60 pages as its table of contents, given up to 50 entries."""
-    pages = ad.pages(table(spark, sf_dir, "documents")).filter("page_num < 60")
+    """The first words of a file's first pages as its table of contents, which isn't given beyond 50 entries."""
+    pages = ad.pages(table(spark, sf_dir, "documents")).filter("page_num < 40 + length(file_path) * 4")
     toc = pages.select("file_path", F.col("page_num").alias("ord"), (1 + F.col("page_num") % 3).alias("level"), F.get(F.split("text", " "), F.lit(0)).alias("title"), (F.col("page_num") + 1).alias("page"))
     listed = op.toc_entries(toc)
-    return listed.select("file_path", F.aggregate("toc", F.lit(0).cast("long"), lambda s, x: s + x["level"]).alias("levels"), F.array_join(F.transform("toc", lambda x: F.concat(x["title"], F.lit("@"), x["page"].cast("string"))), ",").alias("listed"), "entries", "truncated")
+    return listed.select("file_path", F.aggregate("toc", F.lit(0).cast("long"), lambda s, x: s + x["level"]).alias("levels"), F.array_join(F.transform("toc", lambda x: F.concat(x["title"], F.lit("@"), x["page"].cast("string"))), ",").alias("listed"), "entries")
 
 
 @query("SELECT page_id, string_split(url, '/')[-1] AS image_id FROM pages")
@@ -145,3 +148,47 @@ def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whatever is asked for, each field stays within its limits."""
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request"), (F.col("n_chars") - 300).alias("v"))
     return asked.select("request", *[op.clamped(F.col("v"), name).alias(name) for name in op.LIMITS])
+
+
+_TOML = """
+[paths]
+allow = ["*.example.com", "*.example.org"]
+deny = ["m.*", "*.th.*"]
+[embedding]
+model = "small"
+[limits]
+max_response_bytes = 3000000
+"""
+
+
+@query(r"""SELECT page_id, NOT (regexp_matches(h, '^m\..*$') OR regexp_matches(h, '^.*\.th\..*$')) AND (regexp_matches(h, '^.*\.example\.com$') OR regexp_matches(h, '^.*\.example\.org$')) AS allowed, 'small' AS model, 2000000 AS answer_bytes FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h FROM pages)""")
+def configured_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts by the rules of a settings text; its answer size is beyond the greatest one."""
+    given = settings.parse(_TOML)
+    host = F.lower(ad.host(F.col("url")))
+    rule = allowed(host, list(given.allow), list(given.deny))
+    return table(spark, sf_dir, "pages").select("page_id", rule.alias("allowed"), F.lit(given.model).alias("model"), F.lit(given.answer_bytes).alias("answer_bytes"))
+
+
+@query("SELECT d.doc_id AS page_id, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic = 1 ELSE contains(lower(text), 'idiot') END AS flagged, l.doc_id IS NULL AS computed FROM documents d LEFT JOIN labels l USING (doc_id)")
+def flag_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page flags: the stored ones (labels), the others computed from the text, and only those."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    stored = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("flagged"))
+    whole, fresh = op.cache_through(docs, stored, lambda keys: docs.join(keys, "page_id", "left_semi").select("page_id", F.contains(F.lower("text"), F.lit("idiot")).alias("flagged")), "page_id")
+    marks = fresh.select(F.col("page_id").alias("f"), F.lit(True).alias("computed"))
+    return whole.join(marks, F.col("page_id") == F.col("f"), "left").select("page_id", "flagged", F.coalesce("computed", F.lit(False)).alias("computed"))
+
+
+_INDEXED = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\-]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH n AS (SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN text ELSE 'rewritten ' || substr(text, 1, 50) END AS text FROM documents LEFT JOIN labels l USING (doc_id)), w AS (SELECT doc_id, unnest({_INDEXED.format('text')}) AS word FROM n)
+    SELECT doc_id AS page_id, count(*) AS tokens, count(DISTINCT word) AS words, count(*) FILTER (word = 'rewritten') AS rewritten FROM w GROUP BY doc_id""")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word index after labelled pages were written again with another, shorter text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    changed = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+    changed = changed.select("page_id", F.concat(F.lit("rewritten "), F.substring("text", 1, 50)).alias("text"))
+    index = op.update_index(op.index_pages(docs, tx.word_tokens(F.col("text"))), changed, tx.word_tokens(F.col("text")))
+    return index.groupBy("page_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("words"), F.coalesce(F.sum(F.when(F.col("word") == "rewritten", F.col("tf"))), F.lit(0)).alias("rewritten"))
