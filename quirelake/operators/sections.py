@@ -20,18 +20,22 @@ THRESHOLD = 4
 def toc_sections(toc: DataFrame, totals: DataFrame) -> DataFrame:
     """(file_path, ord, title, start_page, end_page) from (file_path, ord, level, title, page) and (file_path, total).
 
-    A section ends before the first later entry of its level or a higher one; the last at the document's end.
+    A section ends before the first later entry of its level or a higher one; the last at the document's end. An entry is
+    listed under its own level and each one below it, and in the list of a level its follower is the next entry of that
+    level or a higher one: no entry meets all others of its file.
     """
-    later = toc.select(F.col("file_path").alias("f"), F.col("ord").alias("o"), F.col("level").alias("l"), F.col("page").alias("p"))
-    joined = toc.join(later, (F.col("file_path") == F.col("f")) & (F.col("o") > F.col("ord")) & (F.col("l") <= F.col("level")), "left")
-    ends = joined.groupBy("file_path", "ord", "title", "page").agg(F.min_by("p", "o").alias("next"))
+    deepest = F.broadcast(toc.agg(F.max("level").alias("deepest")))  # one row
+    listed = toc.join(deepest, how="cross").withColumn("under", F.explode(F.sequence("level", "deepest")))
+    after = F.lead("page").over(Window.partitionBy("file_path", "under").orderBy("ord"))
+    ends = listed.withColumn("next", after).filter(F.col("under") == F.col("level"))
     return ends.join(totals, "file_path").select("file_path", "ord", "title", F.col("page").alias("start_page"), F.coalesce(F.col("next") - 1, F.col("total")).alias("end_page"))
 
 
 def leaf_sections(sections: DataFrame) -> DataFrame:
-    """Sections within which no other starts."""
-    inner = sections.select(F.col("file_path").alias("f"), F.col("ord").alias("o"), F.col("start_page").alias("s"))
-    return sections.join(inner, (F.col("file_path") == F.col("f")) & (F.col("o") != F.col("ord")) & (F.col("s") > F.col("start_page")) & (F.col("s") <= F.col("end_page")), "left_anti")
+    """Sections within which no other starts: the next start after a section's own lies beyond its end."""
+    later = Window.partitionBy("file_path").orderBy("start_page").rangeBetween(1, Window.unboundedFollowing)
+    after = sections.withColumn("after", F.min("start_page").over(later))
+    return after.filter(F.col("after").isNull() | (F.col("after") > F.col("end_page"))).drop("after")
 
 
 def section_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
