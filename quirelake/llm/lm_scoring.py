@@ -11,7 +11,7 @@ vector, the sum of their vectors times position weights, and the next token is d
 Steps 1 and 2 are log-bilinear, with vectors of their own for outputs and slots: a logit is the product of the predicted
 vector with that of the output or slot plus a bias, and batched matrix products, over all outputs and over the slots of
 a class, give normalised log-probabilities. So the probabilities of all words seen and of one unseen word a class sum to
-1, and normalising costs some 400 products a token instead of one a word. In a context each of the ``words`` and
+1, and normalising costs some 300 products a token instead of one a word. In a context each of the ``words`` and
 ``inner`` words has a vector, other words have that of their class.
 
 Corpus statistics come from all training texts: word counts by an aggregate, stored in the shared folder. Training
@@ -38,8 +38,8 @@ from .words import SHORT, Table, distinct_keys, lowered, short_bytes, short_keys
 
 #: The end of a text among the words; no word can hold a space.
 END = " "
-CONTEXT, WIDTH, NOISE, SLOT_NOISE, BATCH = 2, 15, 32, 8, 4096
-RATES = (0.05, 0.05)
+CONTEXT, WIDTH, NOISE, SLOT_NOISE, BATCH = 2, 15, 64, 8, 4096
+RATES = (0.1, 0.1)
 ROUNDS = 4  # the hash of a text's id by this: 0 trains in the first round, the others in the second
 #: Tokens whose logits are held at once in scoring: few enough to stay in the processor's cache.
 ROWS = 1024
@@ -152,7 +152,7 @@ def suffix_of(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.nda
     return number
 
 
-def build_vocabulary(counts: DataFrame, *, words: int = 160, classes: int = 96, inner: int = 8_000, frequent: int = 60_000) -> Vocabulary:
+def build_vocabulary(counts: DataFrame, *, words: int = 96, classes: int = 64, inner: int = 8_000, frequent: int = 60_000) -> Vocabulary:
     """From (word, c): three aggregates, of which bounded parts reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.filter(F.col("word") == END).collect()
@@ -235,7 +235,11 @@ def slot_noise(vocabulary: Vocabulary) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    """In place; far below zero exp gives infinity, and this 0."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1.0
+    return np.divide(1.0, x, out=x)
 
 
 class Trainer:
@@ -262,9 +266,11 @@ class Trainer:
 
     def step(self, read: Read, at: np.ndarray) -> None:
         contexts, outputs, slots, weights = self.parts
-        at = at[np.lexsort((read.slots[at], read.outputs[at]))]
+        # By output, and in a class by slot: slots are numbered class by class, and classes come after the words.
+        slot = read.slots[at]
+        at = at[np.argsort(np.where(slot < 0, read.outputs[at], self.words + slot))]
         target, slot, n = read.outputs[at], read.slots[at], len(at)
-        before = np.stack([read.symbols[read.places[at] - 1 - k] for k in range(CONTEXT)])
+        before = read.symbols[read.places[at] - np.arange(1, CONTEXT + 1)[:, None]]
         vectors = contexts[before]
         guess = np.ones((n, WIDTH + 1), np.float32)
         guess[:, :-1] = (vectors * weights[:, None]).sum(0)
@@ -298,7 +304,7 @@ class Trainer:
         pull = pull[:, :-1]
         steps = (pull * vectors).sum(1)
         rows = before.ravel()
-        order = np.argsort(rows.astype(np.int32), kind="stable")
+        order = np.argsort(rows)
         self.push(0, rows[order], (pull * weights[:, None]).reshape(-1, WIDTH)[order])
         self.push(3, np.arange(CONTEXT), steps)
         self.seen += n
@@ -343,9 +349,9 @@ class Reader:
             at = np.minimum(np.searchsorted(self.suffix_numbers, numbers), len(v.suffixes) - 1)
             group = np.where(self.suffix_numbers[at] == numbers, self.suffix_classes[at], group)
         if len(v.known):
-            outputs, slots, symbols = v.output[ranks], v.slot[ranks], v.symbol[ranks]
+            outputs, slots, symbols = (x.astype(np.int32)[ranks] for x in (v.output, v.slot, v.symbol))
         else:
-            outputs, slots, symbols = (np.zeros(len(ranks), np.int64) for _ in range(3))
+            outputs, slots, symbols = (np.zeros(len(ranks), np.int32) for _ in range(3))
         outputs[rare], slots[rare], symbols[rare] = v.words + group, v.slot_starts[group], v.words + v.inner + group
         # The end after the words of every text, and CONTEXT ends before them.
         has_end = len(v.known) > 0
@@ -356,7 +362,7 @@ class Reader:
         sizes = np.diff(np.concatenate([[0], upto])) + 1
         owner = np.repeat(np.arange(texts), sizes)
         places = np.arange(len(owner)) + (owner + 1) * CONTEXT
-        row = np.full(len(owner) + texts * CONTEXT, end[2], np.int64)
+        row = np.full(len(owner) + texts * CONTEXT, end[2], np.int32)
         row[places] = symbols
         return Read(row, places, outputs, slots, ranks, owner, tails, (data[spans(starts[rare], lengths[rare])], lengths[rare]))
 
@@ -414,9 +420,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", te
     return flat
 
 
-def _normalised(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log10 of the own outputs' shares, row by row."""
-    if len(logits) and np.abs(logits).max() > 60:  # beyond this exp might leave single precision
+def _normalised(guess: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log10 of the own outputs' shares among all that have vectors, row by row."""
+    logits = guess @ vectors.T
+    # No logit can exceed the product of the lengths; beyond this exp might leave single precision.
+    if len(guess) and np.einsum("ij,ij->i", guess, guess).max() * np.einsum("ij,ij->i", vectors, vectors).max() > 60.0**2:
         logits -= logits.max(1, keepdims=True)
     picked = logits[np.arange(len(own)), own].astype(np.float64)
     sums = np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)
@@ -434,7 +442,7 @@ def log_probabilities(read: Read, flat: np.ndarray, vocabulary: Vocabulary) -> t
         here = slice(at, at + ROWS)
         for k in range(CONTEXT):
             guess[here, :-1] += weights[k] * contexts[read.symbols[read.places[here] - 1 - k]]
-        first[here] = _normalised(guess[here] @ outputs.T, read.outputs[here])
+        first[here] = _normalised(guess[here], outputs, read.outputs[here])
     inside = np.flatnonzero(read.slots >= 0)
     inside = inside[np.argsort(read.outputs[inside], kind="stable")]
     edges = np.searchsorted(read.outputs[inside], vocabulary.words + np.arange(len(starts)))
@@ -442,7 +450,7 @@ def log_probabilities(read: Read, flat: np.ndarray, vocabulary: Vocabulary) -> t
         if starts[k + 1] - starts[k] > 1:
             for at in range(i, j, ROWS):
                 here = inside[at : min(at + ROWS, j)]
-                second[here] = _normalised(guess[here] @ slots[starts[k] : starts[k + 1]].T, read.slots[here] - starts[k])
+                second[here] = _normalised(guess[here], slots[starts[k] : starts[k + 1]], read.slots[here] - starts[k])
     return first, second
 
 
