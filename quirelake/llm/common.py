@@ -9,6 +9,7 @@ import tempfile
 import time
 import types
 import uuid
+from itertools import chain
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,6 +126,36 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_READ_SETTING, PARQUET_ROWS)
 
 
+def computed(df: DataFrame, run, schema: str, label: str) -> DataFrame:
+    """df.mapInArrow(run, schema), computed once: each task writes what it yields to one Parquet file of the shared folder,
+    from Python and under its final name only when whole, and the files are read again. Tasks without rows write none."""
+    spark = df.sparkSession
+    uri = scratch_dir(spark, label)
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        found = (b for b in run(batches) if b.num_rows)
+        first, rows = next(found, None), 0
+        if first is not None:
+
+            def put(out):
+                nonlocal rows
+                with pq.ParquetWriter(out, first.schema) as writer:
+                    for batch in chain([first], found):
+                        writer.write_batch(batch)
+                        rows += batch.num_rows
+
+            publish(uri, f"part-{TaskContext.get().partitionId():06d}.parquet", put)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    if not df.mapInArrow(write, "rows long").agg(F.sum("rows")).first()[0]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(uri)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks."""
     module = sys.modules.get("_quirelake_worker")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, narrow_files, packed, splits_of
+from .common import bound_batches, checkpoint, computed, narrow_files, packed, splits_of
 
 BYTES = 8
 #: Three groups of positions: a triple is posted if it lies within a group or has two in one and one in the next.
@@ -73,7 +73,8 @@ _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1,
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, digest, fp) for every row; fp is the fingerprint as a signed long, digest a hash of the text as it stands."""
+    """(id, digest, fp) for every row, computed once; fp is the fingerprint as a signed long, digest a hash of the text as it
+    stands."""
     id_type = docs.schema[id_col].dataType.simpleString()
     bound_batches(docs.sparkSession)
 
@@ -84,7 +85,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.array([simhash(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, digest long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    return computed(rows, run, f"id {id_type}, digest long, fp long", "fingerprints")
 
 
 # --- links within posting lists -------------------------------------------------------------------------------------
@@ -196,7 +198,8 @@ def _posting_links(posted: DataFrame, max_bits: int, longest: int) -> DataFrame:
         if rest and len(rest[0]):
             yield from settle(*rest)
 
-    return posted.repartition("subset", "key").sortWithinPartitions("subset", "key").mapInArrow(run, "a long, b long, subset long, key long")
+    dealt = posted.repartition("subset", "key").sortWithinPartitions("subset", "key")
+    return computed(dealt, run, "a long, b long, subset long, key long", "postings")
 
 
 def _byte(column, position: int):
@@ -211,16 +214,13 @@ def _key(column, positions: tuple[int, ...]):
 
 
 def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, block: int = 2048, files: int | None = None) -> DataFrame:
-    """(a, b) between distinct fingerprints of classes(fp): spanning forests of all links at most max_bits apart.
-
-    What is kept between the steps is written in at most so many files.
-    """
+    """(a, b) between distinct fingerprints of classes(fp): spanning forests of all links at most max_bits apart."""
     if max_bits > 4:
         raise ValueError("the index guarantees 4 shared bytes, so at most 4 differing bits")
     fp = F.col("fp")
     triples = cover()
     posted = classes.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("subset"), _key(fp, t).alias("key")) for i, t in enumerate(triples)])).alias("p"), "fp")
-    first = checkpoint(_posting_links(posted.select("p.subset", "p.key", "fp"), max_bits, refine_above), files)
+    first = _posting_links(posted.select("p.subset", "p.key", "fp"), max_bits, refine_above)
     found = first.filter(F.col("b").isNotNull()).select("a", "b")
     overlong = first.filter(F.col("b").isNull())
     if overlong.isEmpty():
@@ -233,7 +233,7 @@ def links(classes: DataFrame, *, max_bits: int = 4, refine_above: int = 64, bloc
         options = F.array(*[F.struct(F.lit(sum(1 << p for p in q)).cast("long").alias("subset"), _key(F.col("a"), q).alias("key")) for q in further])
         choices = F.when(F.col("subset") == i, options) if i == 0 else choices.when(F.col("subset") == i, options)
     again = overlong.select(F.explode(choices).alias("p"), F.col("a").alias("fp")).select("p.subset", "p.key", "fp").distinct()
-    second = checkpoint(_posting_links(again, max_bits, block), files)
+    second = _posting_links(again, max_bits, block)
     found = found.unionAll(second.filter(F.col("b").isNotNull()).select("a", "b"))
     overlong = second.filter(F.col("b").isNull())
     if overlong.isEmpty():
@@ -279,7 +279,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(edges: DataFrame, held: int) -> DataFrame:
-    """Edges (u, v) with the same components: each task turns the edges it has, at most some ``held`` at a time, into stars."""
+    """Edges (u, v) with the same components, computed once: each task turns the edges it has, at most some ``held`` at a time, into stars."""
 
     def run(batches):
         import pyarrow as pa
@@ -295,10 +295,10 @@ def contracted(edges: DataFrame, held: int) -> DataFrame:
         u, v = stars(u, v)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return edges.mapInArrow(run, "u long, v long")
+    return computed(edges, run, "u long, v long", "edges")
 
 
-def components(edges: DataFrame, *, per_task: int = 250_000, max_rounds: int = 60, files: int | None = None) -> DataFrame:
+def components(edges: DataFrame, *, per_task: int = 250_000, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges(a, b), root being the smallest node of its component.
 
     Each round, tasks of about ``per_task`` edges turn what they hold into stars, which shrinks the edges without a
@@ -306,11 +306,11 @@ def components(edges: DataFrame, *, per_task: int = 250_000, max_rounds: int = 6
     are never gathered, only its minimum. Edges that fit a task are settled by the first of these.
     """
     held = 8 * per_task
-    edges = checkpoint(contracted(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), held), files)
+    edges = contracted(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), held)
     count, state = edges.count(), None
     for _ in range(max_rounds):
         tasks = max(1, -(-count // per_task))
-        edges = checkpoint(contracted(edges.coalesce(tasks), held))
+        edges = contracted(edges.coalesce(tasks), held)
         if tasks == 1:
             break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -332,9 +332,9 @@ def components(edges: DataFrame, *, per_task: int = 250_000, max_rounds: int = 6
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(id, digest, fp, component) for every row: component is the smallest id reachable over links."""
     files = splits_of(docs)
-    marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    marked = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
     classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits, files=files), files=narrow_files(docs)), id_col).coalesce(files)
+    return named_components(marked, classes, components(links(classes.select("fp"), max_bits=max_bits, files=files)), id_col).coalesce(files)
 
 
 def named_components(marked: DataFrame, classes: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, checkpoint, open_fs, publish, scratch_dir, worker_cache
+from .common import bound_batches, computed, open_fs, publish, scratch_dir, worker_cache
 from .words import SHORT, Table, distinct_keys, joined, short_keys, spans, text_buffer
 
 MAGIC = b"QLSST\x00\x01\n"
@@ -378,7 +378,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "do
     keyed = picked.withColumn("digest", F.xxhash64("text"))
     order = [F.col("id").asc_nulls_first(), F.col("digest")]
     dealt = keyed.repartitionByRange(count, *order).sortWithinPartitions(*order, "text").select("id", "text")
-    return checkpoint(dealt.mapInArrow(run, "task long, shard long, path string, entries long, tokens long, bytes long"))
+    return computed(dealt, run, "task long, shard long, path string, entries long, tokens long, bytes long", "manifest")
 
 
 def read_shards(manifest: DataFrame, *, id_col: str = "doc_id", task_bytes: int = 4 << 20) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, bounded_broadcast, checkpoint, narrow_files, open_fs, publish, scratch_dir
+from .common import bound_batches, bounded_broadcast, checkpoint, computed, narrow_files, open_fs, publish, scratch_dir
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n")
@@ -167,7 +167,7 @@ def write_archives(assigned: DataFrame, uri: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [f"{uri}/{name}"], "bytes": [size], "records": [count]})
 
     bound_batches(assigned.sparkSession)
-    return checkpoint(assigned.mapInArrow(run, "path string, bytes long, records long"))
+    return computed(assigned, run, "path string, bytes long, records long", "manifest")
 
 
 def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
