@@ -2,7 +2,7 @@
 
 from quirelake.plans.catalog import QUERIES
 
-NAMES = ("ngram_coverage", "token_coverage", "word_recall", "completeness")
+NAMES = ("ngram_coverage", "token_coverage", "word_recall")
 
 
 def test_every_item_is_measured(spark, tmp_path):
@@ -13,4 +13,3 @@ def test_every_item_is_measured(spark, tmp_path):
     for name in ("ngram_coverage", "token_coverage"):
         assert {(r.doc_id, r.item_id) for r in rows[name]} == {(k, 3 * (k % 45) + 7) for k in range(90)}
     assert sorted(r.doc_id for r in rows["ngram_coverage"] if r.recall == 1) == [44, 89] == sorted(r.doc_id for r in rows["word_recall"] if r.recall == 1)
-    assert [tuple(r) for r in rows["completeness"]] == [(90, 2, 1.0)]
