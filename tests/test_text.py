@@ -9,7 +9,6 @@ from quirelake.functions import text as tx
 from quirelake.operators import layout, paging, search, sections
 from quirelake.plans import layout as geometry
 from quirelake.sources import decoders
-from quirelake.streaming import ingest
 
 
 def fts_stems(words):
@@ -51,7 +50,7 @@ def test_bm25_prefers_frequent(spark):
 
 def test_bm25_stems(spark):
     pages = spark.createDataFrame([(0, "management of risk"), (1, "managing it"), (2, "nothing")], "page_id long, text string")
-    assert {r.page_id for r in search.bm25(pages, "managed", stem=True).collect()} == {0, 1}
+    assert {r.page_id for r in search.full_text(pages, "managed").collect()} == {0, 1}
     assert search.bm25(pages, "managed").count() == 0 == search.bm25(pages, "  ").count()
 
 
@@ -96,10 +95,3 @@ def test_poison_file_gives_a_row(spark, tmp_path):
     rows = decoders.decode(decoders.read_files(spark, str(tmp_path), "*.txt"), decoders.plain_text).collect()
     assert sorted((r.page_num, r.text) for r in rows if r.error is None) == [(0, "one"), (1, "two")]
     assert sum(r.error is not None for r in rows) == 1
-
-
-def test_upsert_stream_keeps_the_newest(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(f"{tmp_path}/in/x=1")
-    run = ingest.upsert_stream(spark.readStream.schema("k long, v string").parquet(f"{tmp_path}/in/x=1"), f"{tmp_path}/out", ["k"], f"{tmp_path}/ck")
-    run.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/version=0").count() == 2
