@@ -82,8 +82,12 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def ngram_hashes(tokens: Column, n: int) -> Column:
     """The same as hashes of 64 bits: for counting, without building a string an n-gram."""
-    from_each = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, F.array_distinct(from_each)).otherwise(F.array().cast("array<bigint>"))
+    def hashed(t: Column) -> Column:
+        from_each = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))
+        return F.when(F.size(t) >= n, F.array_distinct(from_each)).otherwise(F.array().cast("array<bigint>"))
+
+    # Bound to a name first, so that an expression for the tokens is computed once and not at every place.
+    return F.get(F.transform(F.array(tokens), hashed), 0)
 
 
 def cjk_split(text: Column) -> Column:
