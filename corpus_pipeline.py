@@ -15,7 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id: SimHash candidates, verified on
+    5-word shingles (Jaccard 0.8 or more)."""
     return simhash.keep_one(docs, find=resemblance.near_duplicates)
 
 

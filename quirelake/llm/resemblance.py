@@ -1,19 +1,25 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, from MinHash candidates.
-
-A text's set is its distinct 5-word shingles, lower-cased as for SimHash. Equal sets are one class. A class has 48
-minima, posted in 16 bands of three; a pair at a similarity of 0.8 shares no band with a probability of (1 - 0.8**3)**16,
-about 1e-5. In a posting list every member meets the 16 before it, and the first; pairs that agree in fewer than 24 of
-the 48 minima (five standard deviations below what 0.8 gives) are dropped. Lists of up to 17 members thus give all
-pairs; of longer ones a spanning forest of the most alike pairs is kept, a list of its own in each band. What is left is
-verified on the shingle sets themselves, so no link is below the threshold.
-
-Then the longer lists are made good, in pairs of blocks, each in a task of its own. First the tally alone finds the members
-that reach it with a member of another component; then these come with their shingle sets, and a task verifies all their
-pairs by a matrix product and gives a spanning forest of the links it finds. Pairs within a list's largest component have
-nothing to add and aren't dealt, so a large group of copies costs little; no step gives all pairs of a group.
-
-This is the byte-position index of SimHash on other positional bytes: those of minima, of which pairs at 0.8 share most,
-while their SimHash fingerprints differ in 5 to 13 bits and needn't share a byte.
+"""Near duplicates by the exact Jaccard similarity of word shingles, from SimHash candidates.
+
+A text's set is its distinct 5-word shingles, lower-cased as for SimHash. Equal sets are one class. Sets at a similarity of
+0.8 are vectors at a cosine of at least 2 * 0.8 / 1.8, so a bit of their SimHash differs with a probability of at most 0.152:
+9.7 of 64 bits, too many for the byte index of 64 bits and 4 differences. So a class has a wide fingerprint, 128 words of
+64 bits (8 positional bytes), each bit the majority of the shingles' bits, the first word being the SimHash of 64 bits.
+
+- Index: a class is posted once a word, under the two positional bytes whose votes are the most decided: those seldom
+  differ. A pair at 0.8 shares such a list with a probability of 0.07 a word, so it shares none of 128 with one of 1e-4.
+- In a posting list every member meets the 64 before it, and the first; pairs that differ in more than 23 bits of the first
+  word are dropped. Of the others a list gives a spanning forest of the most alike. Where that is not all of them, and where
+  a list has over 65 members, the list is named as one to be made good, and gives its forest only in the first 16 words:
+  the lists of a group of near copies are much the same in every word, and all its pairs are never given.
+- Count filter and Hamming check: the positional bytes that a pair shares are tallied over 6 words, and pairs with fewer
+  than 2 of 48 or more than 110 of 384 differing bits are dropped (a pair at 0.8 shares 12.9 and differs in 58).
+- What is left is verified on the shingle sets themselves, so no link is below the threshold.
+
+Then the named lists are made good, in pairs of blocks, each in a task of its own. First the count filter and the Hamming
+check alone find the members that pass them with a member of another component; then these come with their shingle sets,
+and a task verifies all their pairs by a matrix product and gives a spanning forest of the links it finds. Pairs within a
+list's largest component have nothing to add and aren't dealt, so a large group of copies costs little; no step gives all
+pairs of a group.
 
 Defined results: as for SimHash; null and blank texts have one common set.
 """
@@ -25,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, bounded_broadcast, checkpoint, computed, narrow_files, splits_of
-from .simhash import _Forest, components, named_components, shingle_hashes
+from .simhash import BYTES, _Forest, components, named_components, shingle_hashes
 
-BANDS, ROWS, NEIGHBOURS, LEAST = 16, 3, 16, 24
-_MIX = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_JOIN = np.random.default_rng(18).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of a fingerprint; bytes that are kept of it for the tally, and the least tally where a caller names none.
+WORDS, MARKS, LEAST = 128, 48, 24
+#: What a pair at 0.8 keeps to: differing bits of the first word, shared bytes and differing bits of the marks.
+WORD_BITS, SHARED, MARK_BITS = 23, 2, 110
+NEIGHBOURS, FORESTS = 64, 16
+_MIX = np.random.default_rng(17).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -37,15 +47,58 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
 
 
-def minima(hashes: np.ndarray, step: int = 4096) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def wide_hashes(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words of 64 bits a hash, the first being the hash itself."""
+    x = hashes[:, None] * _MIX
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x[:, 0] = hashes
+    return x
+
+
+def added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ones, twos) of three votes a bit."""
+    ab = a ^ b
+    return ab ^ c, (a & b) | (ab & c)
+
+
+def votes(hashes: np.ndarray, step: int = 7 * 64) -> np.ndarray:
+    """How many hashes set each bit of the wide fingerprint: 8 bits by WORDS * BYTES positional bytes."""
+    found = np.zeros((8, WORDS * BYTES), np.int64)
     for at in range(0, len(hashes), step):
-        least = np.minimum(least, (hashes[at : at + step, None] * _MIX).min(0))
-    return least
+        wide = wide_hashes(hashes[at : at + step])
+        if len(wide) % 7:
+            wide = np.concatenate([wide, np.zeros((7 - len(wide) % 7, WORDS), np.uint64)])
+        a, b, c, d, e, f, g = wide.reshape(7, -1, WORDS)  # seven votes a bit become ones, twos and fours
+        x, p = added(a, b, c)
+        y, q = added(d, e, f)
+        ones, r = added(x, y, g)
+        for weight, votes_of in zip((1, 2, 4), (ones, *added(p, q, r)), strict=True):
+            for bit in range(8):  # a byte of a lane holds 255 votes
+                found[bit] += weight * np.add.reduce((votes_of >> np.uint64(bit)) & _LANES, axis=0).astype("<u8").view(np.uint8).astype(np.int64)
+    return found
+
+
+def fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, keys) of a set: the positional bytes of its wide SimHash, and a key a word of its two most decided bytes."""
+    ones = votes(hashes)
+    margin = np.abs(2 * ones - len(hashes)).astype(np.float32) / np.float32(max(1, len(hashes)) ** 0.5)
+    marks = np.packbits(ones * 2 > len(hashes), axis=0, bitorder="little")[0]
+    doubt = np.exp(-margin).sum(0).reshape(WORDS, BYTES)
+    row = np.arange(WORDS)
+    first = doubt.argmin(1)
+    doubt[row, first] = np.inf
+    second = doubt.argmin(1)
+    low, high = np.minimum(first, second), np.maximum(first, second)
+    place = (row * BYTES + low) * BYTES + high
+    by_word = marks.reshape(WORDS, BYTES)
+    return marks, (place << 16 | by_word[row, low].astype(np.int64) << 8 | by_word[row, high]).astype(np.int32)
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, digest, fp, keys, marks) for every row: fp is a hash of the set, keys its bands, marks a byte of each minimum."""
+    """(id, digest, fp, keys, word, marks) for every row: fp is a hash of the set, keys its posting lists, word the first
+    word and marks the first bytes of its fingerprint."""
     id_type = docs.schema[id_col].dataType.simpleString()
     bound_batches(docs.sparkSession)
 
@@ -57,49 +110,66 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             fps, keys, marks = [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text, shingle)
-                least = minima(hashes)
+                whole, lists = fingerprint(hashes)
                 fps.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
-                keys.append((least.reshape(BANDS, ROWS) * _JOIN).sum(1, dtype=np.uint64).view(np.int64))
-                marks.append((least >> np.uint64(20)).astype(np.uint8).tobytes())
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(marks, pa.binary())], ["id", "digest", "fp", "keys", "marks"])
+                keys.append(lists)
+                marks.append(whole[:MARKS])
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * WORDS), flat)
+            word = np.array([m[:BYTES] for m in marks], np.uint8).reshape(-1, BYTES).view("<i8")[:, 0]
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(word), pa.array([m.tobytes() for m in marks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "fp", "keys", "word", "marks"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    return computed(rows, run, f"id {id_type}, digest long, fp long, keys array<long>, marks binary", "sketches")
+    return computed(rows, run, f"id {id_type}, digest long, fp long, keys array<int>, word long, marks binary", "sketches")
+
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of bytes, along the last axis."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)).sum(-1, dtype=np.int64)
 
-def list_pairs(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Candidate pairs (i, j) of rows with equal keys; the arrays are sorted by key."""
+
+def list_pairs(keys: np.ndarray, marks: np.ndarray, rest: list[int] | None = None) -> np.ndarray:
+    """A spanning forest of the candidate pairs (i, j) of rows with equal keys, by the differing bits of their marks; the
+    arrays are sorted by key. Keys of lists that may have further candidates are added to ``rest``."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]).astype(np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
-    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    first, number = np.repeat(starts, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    most = WORD_BITS * marks.shape[1] // BYTES
+    pairs, apart = [], []
+
+    def meet(i, j):
+        bits = differing(marks[i], marks[j])
+        near = bits <= most
+        pairs.append(np.stack([i[near], j[near]], 1))
+        apart.append(bits[near])
+
     late = np.flatnonzero(np.arange(len(keys)) - first > NEIGHBOURS)
-    found = [np.stack([first[late], late], 1)]
+    meet(first[late], late)
+    live = np.arange(len(keys))
     for gap in range(1, NEIGHBOURS + 1):
-        live = np.flatnonzero(keys[gap:] == keys[:-gap])
+        live = live[live < len(keys) - gap]
+        live = live[keys[live] == keys[live + gap]]
         if not len(live):
             break
-        found.append(np.stack([live, live + gap], 1))
-    pairs = np.concatenate(found)
-    alike = np.concatenate([(marks[p[:, 0]] == marks[p[:, 1]]).sum(1) for p in np.array_split(pairs, len(pairs) // 65536 + 1)])
-    pairs, alike = pairs[alike >= LEAST], alike[alike >= LEAST]
-    long = size[pairs[:, 0]] > NEIGHBOURS + 1
-    if not long.any():
-        return pairs
-    forest = _Forest(len(keys))
-    for i, j in pairs[long][np.argsort(-alike[long], kind="stable")].tolist():
+        meet(live, live + gap)
+    pairs, forest = np.concatenate(pairs), _Forest(len(keys))
+    for i, j in pairs[np.argsort(np.concatenate(apart), kind="stable")].tolist():
         forest.link(i, j)
-    return np.concatenate([pairs[~long], np.array(forest.kept, np.int64).reshape(-1, 2)])
+    kept = np.array(forest.kept, np.int64).reshape(-1, 2)
+    if rest is not None:
+        given, near = (np.bincount(number[p[:, 0]], minlength=len(sizes)) for p in (kept, np.unique(pairs, axis=0)))
+        rest.extend(keys[starts[(given < near) | (sizes > NEIGHBOURS + 1)]].tolist())
+    return kept
 
 
 def postings(classes: DataFrame, *more: str) -> DataFrame:
-    """(key, fp, marks, more) of classes(fp, keys, marks, more): a row a band."""
-    return classes.select(F.posexplode("keys").alias("band", "key"), "fp", "marks", *more).select(F.xxhash64("band", "key").alias("key"), "fp", "marks", *more)
+    """(key, fp, more) of classes(fp, keys, more): a row a list."""
+    return classes.select(F.explode("keys").alias("key"), "fp", *more).withColumn("key", F.col("key").cast("long"))
 
 
 def candidates(classes: DataFrame, longest: int = 4096) -> DataFrame:
-    """(a, b, list) from classes(fp, keys, marks): pairs a < b, and the keys of lists too long to give all of theirs."""
+    """(a, b, list) from classes(fp, keys, word): pairs a < b, and the keys of lists that don't give all of theirs."""
 
     def run(batches):
         import pyarrow as pa
@@ -107,18 +177,19 @@ def candidates(classes: DataFrame, longest: int = 4096) -> DataFrame:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64())])
 
         def settle(keys, fps, marks):
-            pairs = list_pairs(keys, marks)
+            named = []
+            pairs = list_pairs(keys, marks, named)
+            found, of = np.array(named, np.int64), keys[pairs[:, 0]]
+            pairs = pairs[(of >> 22 < FORESTS) | ~np.isin(of, found)]  # a key begins with its word
             a, b = fps[pairs[:, 0]], fps[pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=schema)
-            found, sizes = np.unique(keys, return_counts=True)
-            found = found[sizes > NEIGHBOURS + 1]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found)], schema=schema)
 
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), byte_rows(batch.column(2))]
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.ascontiguousarray(batch.column(2).to_numpy()).view(np.uint8).reshape(-1, BYTES)]
             held = part if rest is None else [np.concatenate([r, p]) for r, p in zip(rest, part, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
@@ -130,20 +201,38 @@ def candidates(classes: DataFrame, longest: int = 4096) -> DataFrame:
         if rest is not None:
             yield from settle(*rest)
 
-    return postings(classes).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, list long").distinct()
+    return postings(classes, "word").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, list long").distinct()
 
 
 def byte_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MARKS)
+
+
+def tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the count filter and the Hamming check on the marks of classes(fp, marks)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = byte_rows(batch.column(2)), byte_rows(batch.column(3))
+            near = ((x == y).sum(1) >= SHARED) & (differing(x, y) <= MARK_BITS)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    left, right = classes.select(F.col("fp").alias("a"), F.col("marks").alias("x")), classes.select(F.col("fp").alias("b"), F.col("marks").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def alike_members(left: np.ndarray, right: np.ndarray, left_roots: np.ndarray, right_roots: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of two arrays of marks agree in LEAST places with a row of the other that has another root."""
+def alike_members(left: np.ndarray, right: np.ndarray, left_roots: np.ndarray, right_roots: np.ndarray, least: int, most: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two arrays of marks share ``least`` bytes with a row of the other that has another root, and differ
+    from it in at most ``most`` bits."""
     a, b = np.zeros(len(left), bool), np.zeros(len(right), bool)
     for at in range(0, len(left), step):
-        near = ((left[at : at + step, None] == right[None]).sum(-1) >= LEAST) & (left_roots[at : at + step, None] != right_roots[None])
-        a[at : at + step] |= near.any(1)
-        b |= near.any(0)
+        part, apart = left[at : at + step], left_roots[at : at + step, None] != right_roots[None]
+        i, j = np.nonzero(apart & ((part[:, None] == right[None]).sum(-1) >= least))
+        near = differing(part[i], right[j]) <= most
+        a[at + i[near]] = True
+        b[j[near]] = True
     return a, b
 
 
@@ -192,10 +281,13 @@ def block_pairs(members: DataFrame, block: int) -> DataFrame:
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("l_key", "main", "n_main", "n_rest", "other")
 
 
-def crossing(classes: DataFrame, lists: DataFrame, rooted: DataFrame, *, block: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
-    """(key, fp, root) of the members of the given lists that reach the tally with one of another component in their list."""
+def crossing(
+    classes: DataFrame, lists: DataFrame, rooted: DataFrame, *, least: int = LEAST, most: int = 8 * MARKS, block: int = 1024, broadcast_rows: int = 100_000
+) -> DataFrame:
+    """(key, fp, root) of the members of the given lists that share ``least`` bytes with one of another component in their
+    list, and differ from it in at most ``most`` bits."""
     chosen = lists.select(F.col("list").alias("l_key")).distinct()
-    member = postings(classes).join(bounded_broadcast(chosen, chosen.count(), broadcast_rows), F.col("key") == F.col("l_key"))
+    member = postings(classes, "marks").join(bounded_broadcast(chosen, chosen.count(), broadcast_rows), F.col("key") == F.col("l_key"))
     placed = member.join(rooted, F.col("fp") == F.col("node"), "left").select("key", "fp", "marks", F.coalesce("root", "fp").alias("root"))
 
     def compare(key, group):
@@ -204,7 +296,7 @@ def crossing(classes: DataFrame, lists: DataFrame, rooted: DataFrame, *, block:
         own, fps, roots = (group.column(c).to_numpy() for c in ("own", "fp", "root"))
         marks = byte_rows(group.column("marks"))
         left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-        a, b = alike_members(marks[left], marks[right], roots[left], roots[right])
+        a, b = alike_members(marks[left], marks[right], roots[left], roots[right], least, most)
         found = np.unique(np.concatenate([left[a], right[b]]))
         return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "fp": fps[found], "root": roots[found]})
 
@@ -263,12 +355,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     options = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
     marked = sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle)
     classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("r"))
-    posted = marked.select("fp", "keys", "marks").dropDuplicates(["fp"])
+    posted = marked.select("fp", "keys", "word", "marks").dropDuplicates(["fp"])
     found = checkpoint(candidates(posted), few)
-    pairs, lists = found.filter("a IS NOT NULL").select("a", "b"), found.filter("a IS NULL").select("list")
+    lists = found.filter("a IS NULL").select("list")
+    pairs = checkpoint(tallied(found.filter("a IS NOT NULL").select("a", "b"), posted), few)
     rooted = components(verified(pairs, sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("n_fp")), **options), similarity))
     if not lists.isEmpty():
-        members = checkpoint(crossing(posted, lists, rooted), few)
+        members = checkpoint(crossing(posted, lists, rooted, least=SHARED, most=MARK_BITS), few)
         if not members.isEmpty():
             # Kept, so that no task runs two Python workers at once.
             links = checkpoint(crossing_links(members, sets_of(docs, classes, members.select(F.col("fp").alias("n_fp")), **options), similarity=similarity), files)

@@ -4,6 +4,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -117,6 +118,40 @@ def test_a_long_list_gives_a_spanning_forest():
     assert len(pairs) == 99
 
 
+def test_stage_goes_by_simhash(spark):
+    """The index holds the majority bits of the distinct shingles, and posts two bytes of each word at their places."""
+    text = " ".join(f"w{i % 40}" for i in range(90))
+    row = resemblance.sketches(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    words = text.encode().split()
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}
+    slow = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    assert row.word % 2**64 == slow == int.from_bytes(row.marks[:8], "little")
+    wide = resemblance.wide_hashes(np.array(sorted(hashes), np.uint64))
+    whole = [sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in column) * 2 > len(hashes)).to_bytes(8, "little") for column in wide.T]
+    assert b"".join(whole)[: len(row.marks)] == row.marks and len(row.keys) == len(whole)
+    for k, key in enumerate(row.keys):
+        low, high = key >> 19 & 7, key >> 16 & 7
+        assert key >> 22 == k and low < high and (key >> 8 & 255, key & 255) == (whole[k][low], whole[k][high])
+
+
+def test_pairs_at_the_threshold_share_a_list():
+    draw = np.random.default_rng(8)
+    for size in [5, 12, 40, 200] * 100:
+        hashes = draw.integers(0, 1 << 63, 5 * (size // 4), np.uint64) * np.uint64(2) + np.uint64(1)
+        common, own = hashes[: size // 4 * 4], hashes[size // 4 * 4 :]
+        (x, a), (y, b) = (resemblance.fingerprint(np.concatenate([common, part])) for part in np.split(own, [len(own) // 2]))
+        x, y = x[None, : resemblance.MARKS], y[None, : resemblance.MARKS]
+        assert (a == b).any() and (x == y).sum() >= resemblance.SHARED and resemblance.differing(x.copy(), y.copy())[0] <= resemblance.MARK_BITS
+
+
+def test_near_copies_give_few_pairs(spark):
+    """All 600 texts are alike in pairs; what the lists give grows with the texts, not with their pairs."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*base[: k % 400], f"x{k}", *base[k % 400 + 1 :]])) for k in range(600)]
+    classes = resemblance.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select("fp", "keys", "word", "marks")
+    assert resemblance.candidates(classes).filter("a is not null").count() < 600 * 24
+
+
 def test_whole_run_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
