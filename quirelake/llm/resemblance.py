@@ -7,19 +7,22 @@ A text's set is its distinct 5-word shingles, lower-cased as for SimHash. Equal
 
 - Index: a class is posted once a word, under the two positional bytes whose votes are the most decided: those seldom
   differ. A pair at 0.8 shares such a list with a probability of 0.07 a word, so it shares none of 128 with one of 1e-4.
-- In a posting list every member meets the 64 before it, and the first; pairs that differ in more than 23 bits of the first
-  word are dropped. Of the others a list gives a spanning forest of the most alike. Where that is not all of them, and where
-  a list has over 65 members, the list is named as one to be made good, and gives its forest only in the first 16 words:
-  the lists of a group of near copies are much the same in every word, and all its pairs are never given.
+- In a posting list every member meets the 64 before it, and the first; pairs that differ in more than 64 bits of the first
+  three words are dropped. Of the others a list gives a spanning forest of the most alike. Where that is not all of them, and
+  where a list has over 65 members, the list is open: it gives its forest only in the first 16 words, as the lists of a group
+  of near copies are much the same in every word, and all its pairs are never given.
+- Groups: what the pairs of an open list connect is one group, over all lists, so any further pair lies within a group, and
+  a class is in one group however many lists it is in. Lists of over 4,096 members aren't searched to the end in one task:
+  they are named instead.
 - Count filter and Hamming check: the positional bytes that a pair shares are tallied over 6 words, and pairs with fewer
   than 2 of 48 or more than 110 of 384 differing bits are dropped (a pair at 0.8 shares 12.9 and differs in 58).
 - What is left is verified on the shingle sets themselves, so no link is below the threshold.
 
-Then the named lists are made good, in pairs of blocks, each in a task of its own. First the count filter and the Hamming
-check alone find the members that pass them with a member of another component; then these come with their shingle sets,
-and a task verifies all their pairs by a matrix product and gives a spanning forest of the links it finds. Pairs within a
-list's largest component have nothing to add and aren't dealt, so a large group of copies costs little; no step gives all
-pairs of a group.
+Then the groups and the named lists are made good, in pairs of blocks, each in a task of its own. First the count filter and
+the Hamming check alone find the members that pass them with a member of another component; then these come with their
+shingle sets, and a task verifies all their pairs by a matrix product and gives a spanning forest of the links it finds. Pairs
+within the largest component of a group have nothing to add and aren't dealt, so a large group of copies costs little; no
+step gives all pairs of a group.
 
 Defined results: as for SimHash; null and blank texts have one common set.
 """
@@ -31,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, bounded_broadcast, checkpoint, computed, narrow_files, splits_of
-from .simhash import BYTES, _Forest, components, named_components, shingle_hashes
+from .simhash import BYTES, _Forest, components, named_components, shingle_hashes, stars
 
 #: Words of a fingerprint; bytes that are kept of it for the tally, and the least tally where a caller names none.
 WORDS, MARKS, LEAST = 128, 48, 24
-#: What a pair at 0.8 keeps to: differing bits of the first word, shared bytes and differing bits of the marks.
-WORD_BITS, SHARED, MARK_BITS = 23, 2, 110
+#: Bytes of the marks that are posted; what a pair at 0.8 keeps to: differing bits of these, shared bytes and differing bits
+#: of the marks.
+LEAD, LEAD_BITS, SHARED, MARK_BITS = 3 * BYTES, 64, 2, 110
 NEIGHBOURS, FORESTS = 64, 16
 _MIX = np.random.default_rng(17).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.uint64(0x0101010101010101)
@@ -135,7 +139,7 @@ def list_pairs(keys: np.ndarray, marks: np.ndarray, rest: list[int] | None = Non
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]).astype(np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
     first, number = np.repeat(starts, sizes), np.repeat(np.arange(len(sizes)), sizes)
-    most = WORD_BITS * marks.shape[1] // BYTES
+    most = LEAD_BITS * marks.shape[1] // LEAD
     pairs, apart = [], []
 
     def meet(i, j):
@@ -163,49 +167,96 @@ def list_pairs(keys: np.ndarray, marks: np.ndarray, rest: list[int] | None = Non
     return kept
 
 
-def postings(classes: DataFrame, *more: str) -> DataFrame:
+def reached(marks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): each row that steps of at most ``most`` differing bits connect to an earlier row, and the earliest it is from;
+    a row meets those that are not reached yet."""
+    rest, own, first = np.arange(len(marks)), [], []
+    while len(rest):
+        seed, rest = rest[0], rest[1:]
+        ahead = [seed]
+        while ahead and len(rest):
+            near = differing(marks[rest], marks[ahead.pop()]) <= most
+            found, rest = rest[near], rest[~near]
+            own.append(found)
+            first.append(np.full(len(found), seed))
+            ahead.extend(found.tolist())
+    return np.concatenate([np.zeros(0, np.int64), *own]), np.concatenate([np.zeros(0, np.int64), *first])
+
+
+def postings(classes: DataFrame, *more) -> DataFrame:
     """(key, fp, more) of classes(fp, keys, more): a row a list."""
     return classes.select(F.explode("keys").alias("key"), "fp", *more).withColumn("key", F.col("key").cast("long"))
 
 
-def candidates(classes: DataFrame, longest: int = 4096) -> DataFrame:
-    """(a, b, list) from classes(fp, keys, word): pairs a < b, and the keys of lists that don't give all of theirs."""
+def candidates(classes: DataFrame, longest: int = 4096, held: int = 2_000_000) -> DataFrame:
+    """(a, b, list, u, v) from classes(fp, keys, marks), computed once: pairs a < b; edges u-v, which connect what else the
+    lists may link; and the keys of lists of over ``longest`` members, whose pairs neither of these cover."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64())])
+        names = ["a", "b", "list", "u", "v"]
+        u = v = np.zeros(0, np.int64)
+
+        def rows(**columns):
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[n]) if n in columns else pa.nulls(size, pa.int64()) for n in names], names)
 
         def settle(keys, fps, marks):
+            nonlocal u, v
             named = []
             pairs = list_pairs(keys, marks, named)
             found, of = np.array(named, np.int64), keys[pairs[:, 0]]
-            pairs = pairs[(of >> 22 < FORESTS) | ~np.isin(of, found)]  # a key begins with its word
-            a, b = fps[pairs[:, 0]], fps[pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found)], schema=schema)
+            still_open = np.isin(of, found)
+            given = pairs[(of >> 22 < FORESTS) | ~still_open]  # a key begins with its word
+            a, b = fps[given[:, 0]], fps[given[:, 1]]
+            yield rows(a=np.minimum(a, b), b=np.maximum(a, b))
+            edges = [pairs[still_open]]
+            starts, ends = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+            yield rows(list=found[ends - starts > longest])
+            for at, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                if NEIGHBOURS + 1 < end - at <= longest:
+                    edges.append(np.stack(reached(marks[at:end], LEAD_BITS), 1) + at)
+            edges = np.concatenate(edges)
+            u, v = np.concatenate([u, fps[edges[:, 0]]]), np.concatenate([v, fps[edges[:, 1]]])
+            if len(u) >= held:
+                u, v = stars(u, v)
+                if len(u) >= held // 2:
+                    yield rows(u=u, v=v)
+                    u = v = np.zeros(0, np.int64)
 
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.ascontiguousarray(batch.column(2).to_numpy()).view(np.uint8).reshape(-1, BYTES)]
-            held = part if rest is None else [np.concatenate([r, p]) for r, p in zip(rest, part, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), byte_rows(batch.column(2), LEAD)]
+            whole = part if rest is None else [np.concatenate([r, p]) for r, p in zip(rest, part, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
             if cut:
-                yield from settle(*[h[:cut] for h in held])
-            rest = [h[cut:] for h in held]
+                yield from settle(*[w[:cut] for w in whole])
+            rest = [w[cut:] for w in whole]
             if len(rest[0]) > longest:  # the first and the last of a long list meet those that follow
                 yield from settle(*rest)
                 rest = [np.concatenate([r[:1], r[-NEIGHBOURS:]]) for r in rest]
         if rest is not None:
             yield from settle(*rest)
+        yield rows(**dict(zip("uv", stars(u, v), strict=True)))
+
+    posted = postings(classes, F.substring("marks", 1, LEAD).alias("lead")).repartition("key").sortWithinPartitions("key", "fp")
+    found = computed(posted, run, "a long, b long, list long, u long, v long", "candidates")
+    return found.filter("a IS NOT NULL").distinct().unionAll(found.filter("a IS NULL"))
 
-    return postings(classes, "word").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, list long").distinct()
 
+def byte_rows(column, width: int = MARKS) -> np.ndarray:
+    """An array of binary values of one width, a row a value."""
+    import pyarrow as pa
 
-def byte_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MARKS)
+    joined = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(joined):
+        return np.zeros((0, width), np.uint8)
+    _, offsets, data = joined.buffers()
+    start = int(np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(joined.type) else np.int32)[joined.offset])
+    return np.frombuffer(data, np.uint8, len(joined) * width, start).reshape(-1, width)
 
 
 def tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -267,28 +318,40 @@ def set_links(left: list[np.ndarray], right: list[np.ndarray], left_roots: np.nd
     return kept
 
 
-def block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """(key, i, j, own, ...) of members(key, fp, root, ...): each two blocks of a list meet under (key, i, j), own being the
-    row's block. Lists of one component are left out, and blocks of the largest component don't meet each other."""
+def block_pairs(members: DataFrame, carried: DataFrame, block: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """(key, i, j, own, fp, root, ...) of members(key, fp, root) and what carried(fp, ...) has on them: each two blocks of a
+    key meet under (key, i, j), own being the row's block. Keys of one component are left out, and blocks of the largest
+    component don't meet each other."""
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-    lists = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
-    lists = lists.select(F.col("key").alias("l_key"), "main", F.ceil(F.col("most") / block).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("n_rest"))
-    held = members.join(lists, F.col("key") == F.col("l_key"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    keys = checkpoint(keys.select(F.col("key").alias("l_key"), "main", F.ceil(F.col("most") / block).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("n_rest")), 1)
+    held = members.join(bounded_broadcast(keys, keys.count(), broadcast_rows), F.col("key") == F.col("l_key"))
     spot, rest = F.xxhash64("fp"), F.col("root") != F.col("main")
     own = F.when(rest, F.col("n_main") + F.pmod(spot, F.col("n_rest"))).otherwise(F.pmod(spot, F.col("n_main"))).cast("int")
     others = F.sequence(F.when(rest, F.lit(0)).otherwise(F.col("n_main")), F.col("n_main") + F.col("n_rest") - 1)
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(others))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("l_key", "main", "n_main", "n_rest", "other")
+    placed = held.select("key", "fp", "root", own.alias("own"), others.alias("others"))
+    dealt = placed.join(carried.withColumnRenamed("fp", "c_fp"), F.col("fp") == F.col("c_fp")).drop("c_fp").withColumn("other", F.explode("others"))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("others", "other")
+
+
+def with_roots(members: DataFrame, rooted: DataFrame, files: int | None) -> DataFrame:
+    """(key, fp, root) of members(key, fp), kept; a class without a link is its own root."""
+    return checkpoint(members.join(rooted, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), files)
 
 
 def crossing(
-    classes: DataFrame, lists: DataFrame, rooted: DataFrame, *, least: int = LEAST, most: int = 8 * MARKS, block: int = 1024, broadcast_rows: int = 100_000
+    classes: DataFrame, lists: DataFrame, rooted: DataFrame, *, least: int = LEAST, most: int = 8 * MARKS, block: int = 1024, broadcast_rows: int = 100_000, files: int | None = None
 ) -> DataFrame:
     """(key, fp, root) of the members of the given lists that share ``least`` bytes with one of another component in their
     list, and differ from it in at most ``most`` bits."""
     chosen = lists.select(F.col("list").alias("l_key")).distinct()
-    member = postings(classes, "marks").join(bounded_broadcast(chosen, chosen.count(), broadcast_rows), F.col("key") == F.col("l_key"))
-    placed = member.join(rooted, F.col("fp") == F.col("node"), "left").select("key", "fp", "marks", F.coalesce("root", "fp").alias("root"))
+    members = postings(classes).join(bounded_broadcast(chosen, chosen.count(), broadcast_rows), F.col("key") == F.col("l_key")).select("key", "fp")
+    return alike(with_roots(members, rooted, files), classes, least=least, most=most, block=block)
+
+
+def alike(members: DataFrame, classes: DataFrame, *, least: int, most: int, block: int = 1024) -> DataFrame:
+    """Those of members(key, fp, root) that share ``least`` bytes of the marks of classes(fp, marks) with one of their key and
+    of another component, and differ from it in at most ``most`` bits."""
 
     def compare(key, group):
         import pyarrow as pa
@@ -300,12 +363,11 @@ def crossing(
         found = np.unique(np.concatenate([left[a], right[b]]))
         return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "fp": fps[found], "root": roots[found]})
 
-    return block_pairs(placed, block).groupBy("key", "i", "j").applyInArrow(compare, "key long, fp long, root long").distinct()
+    return block_pairs(members, classes.select("fp", "marks"), block).groupBy("key", "i", "j").applyInArrow(compare, "key long, fp long, root long").distinct()
 
 
 def crossing_links(members: DataFrame, sets: DataFrame, *, similarity: float, block: int = 512) -> DataFrame:
-    """(a, b): links between members(key, fp, root) of a list and of different components, verified on sets(fp, shingles)."""
-    placed = members.join(sets.withColumnRenamed("fp", "s_fp"), F.col("fp") == F.col("s_fp")).drop("s_fp")
+    """(a, b): links between members(key, fp, root) of a key and of different components, verified on sets(fp, shingles)."""
 
     def compare(key, group):
         import pyarrow as pa
@@ -318,7 +380,7 @@ def crossing_links(members: DataFrame, sets: DataFrame, *, similarity: float, bl
         pairs = np.array(set_links(x, y, roots[left], roots[right], similarity) if x and y else [], np.int64).reshape(-1, 2)
         return pa.table({"a": fps[left[pairs[:, 0]]], "b": fps[right[pairs[:, 1]]]})
 
-    return block_pairs(placed, block).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return block_pairs(members, sets, block).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -349,19 +411,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, digest, fp, component) for every row: component is the smallest id reachable over links."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, longest: int = 4096) -> DataFrame:
+    """(id, digest, fp, component) for every row: component is the smallest id reachable over links. Lists of over ``longest``
+    members are made good one by one, shorter ones by group."""
     files, few = splits_of(docs), narrow_files(docs)
     options = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
     marked = sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle)
     classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("r"))
-    posted = marked.select("fp", "keys", "word", "marks").dropDuplicates(["fp"])
-    found = checkpoint(candidates(posted), few)
-    lists = found.filter("a IS NULL").select("list")
+    posted = marked.select("fp", "keys", "marks").dropDuplicates(["fp"])
+    found = checkpoint(candidates(posted, longest), few)
+    lists, edges = found.filter("list IS NOT NULL").select("list"), found.filter("u IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
     pairs = checkpoint(tallied(found.filter("a IS NOT NULL").select("a", "b"), posted), few)
     rooted = components(verified(pairs, sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("n_fp")), **options), similarity))
-    if not lists.isEmpty():
-        members = checkpoint(crossing(posted, lists, rooted, least=SHARED, most=MARK_BITS), few)
+    if not edges.isEmpty() or not lists.isEmpty():
+        groups = with_roots(components(edges).select(F.col("root").alias("key"), F.col("node").alias("fp")), rooted, few)
+        members = alike(groups, posted, least=SHARED, most=MARK_BITS)
+        if not lists.isEmpty():
+            members = members.unionAll(crossing(posted, lists, rooted, least=SHARED, most=MARK_BITS, files=few))
+        members = checkpoint(members, few)
         if not members.isEmpty():
             # Kept, so that no task runs two Python workers at once.
             links = checkpoint(crossing_links(members, sets_of(docs, classes, members.select(F.col("fp").alias("n_fp")), **options), similarity=similarity), files)

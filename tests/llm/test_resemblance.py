@@ -152,6 +152,52 @@ def test_near_copies_give_few_pairs(spark):
     assert resemblance.candidates(classes).filter("a is not null").count() < 600 * 24
 
 
+def scattered(count, size=90, changes=8):
+    """Texts of one origin at similarities on both sides of 0.8: most pairs are alike, few are linked."""
+    draw = np.random.default_rng(12)
+    rows = []
+    for k in range(count):
+        words = [f"w{i}" for i in range(size)]
+        for at in draw.choice(size, draw.integers(1, changes), replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_a_text_is_verified_once_however_many_lists_it_is_in(spark, monkeypatch):
+    """The members that come with their sets grow with the texts, not with the lists that texts have in common."""
+    rows, came = scattered(300), []
+    links = resemblance.crossing_links
+
+    def watched(members, sets, **options):
+        came.append((members.count(), members.select("fp").distinct().count()))
+        return links(members, sets, **options)
+
+    monkeypatch.setattr(resemblance, "crossing_links", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == slow_kept(docs.collect())
+    assert len(came) == 1 and came[0][0] == came[0][1] > 50
+
+
+def test_lists_too_long_for_a_task_lose_no_link(spark):
+    docs = spark.createDataFrame(scattered(200), "doc_id long, text string")
+    for longest in (8, 70):  # lists from that length on are made good one by one
+        found = resemblance.near_duplicates(docs, longest=longest).collect()
+        assert {r.doc_id for r in found if r.doc_id == r.component} == slow_kept(docs.collect()), longest
+    classes = resemblance.sketches(docs).select("fp", "keys", "marks")
+    assert not resemblance.candidates(classes, 8).filter("list is not null").isEmpty()
+
+
+def test_reached_rows_are_the_components_of_near_pairs():
+    draw = np.random.default_rng(4)
+    marks = np.repeat(draw.integers(0, 256, (12, 24)), 12, 0).astype(np.uint8)
+    marks ^= (draw.random((*marks.shape, 8)) < 0.12).dot(1 << np.arange(8)).astype(np.uint8)
+    near = [(i, j) for i, j in combinations(range(len(marks)), 2) if sum(int(x).bit_count() for x in marks[i] ^ marks[j]) <= 36]
+    i, j = resemblance.reached(marks, 36)
+    assert (j < i).all() and groups(zip(i.tolist(), j.tolist(), strict=True), range(len(marks))) == groups(near, range(len(marks)))
+    assert 12 < len(groups(near, range(len(marks)))) < 144 and [len(x) for x in resemblance.reached(marks[:0], 36)] == [0, 0]
+
+
 def test_whole_run_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
